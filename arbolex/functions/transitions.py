@@ -72,6 +72,19 @@ def frame(state: Column) -> Column:
     )
 
 
+def gold_view(state: Column, f: Column, heads: Column, n: Column) -> Column:
+    """Gold heads of the words in focus and the gold arcs still open on both sides."""
+    s0, n0 = f["s0"], f["n0"]
+    waiting = F.filter(state["stack"], lambda w: (at(heads, w) == n0) & (at(state["head"], w) == 0))
+    rest = F.slice(heads, n0, F.greatest(n - n0 + 1, F.lit(0)))
+    return F.struct(
+        at(heads, s0).alias("s0_gold"),
+        at(heads, n0).alias("n0_gold"),
+        F.size(waiting).alias("lost_left"),
+        (F.size(rest) - F.size(F.array_remove(rest, s0))).alias("lost_right"),
+    )
+
+
 def legality(system: str, state: Column, f: Column, n: Column) -> dict[str, Column]:
     """Which kinds of move are legal: ``shift, reduce, left, right``."""
     size, n0 = f["size"], f["n0"]
@@ -99,17 +112,13 @@ def legality(system: str, state: Column, f: Column, n: Column) -> dict[str, Colu
     }
 
 
-def arc_costs(system: str, state: Column, f: Column, heads: Column, n: Column) -> dict[str, Column]:
+def arc_costs(system: str, state: Column, f: Column, g: Column) -> dict[str, Column]:
     """Gold arcs lost by each kind of move, labels aside."""
     s0, s1, n0, size = f["s0"], f["s1"], f["n0"], f["size"]
-    stack = state["stack"]
+    s0_gold, n0_gold, lost_left, lost_right = g["s0_gold"], g["n0_gold"], g["lost_left"], g["lost_right"]
     one = lambda cond: cond.cast("int")
-    s0_gold, n0_gold = at(heads, s0), at(heads, n0)
-    lost_left = F.size(F.filter(stack, lambda w: (at(heads, w) == n0) & (at(state["head"], w) == 0)))
-    rest = F.slice(heads, n0, F.greatest(n - n0 + 1, F.lit(0)))
-    lost_right = F.size(F.filter(rest, lambda h: h == s0))
-    head_in_stack = F.array_contains(stack, n0_gold)
-    head_below = head_in_stack & (n0_gold != s0)
+    head_in_stack = F.array_contains(state["stack"], n0_gold)
+    head_below = (n0_gold != s0) & head_in_stack
     if is_hybrid(system):
         late = lost_right + one(s0_gold >= n0)
         left_lost = (s0_gold > n0) | ((size == 1) & (s0_gold == 0)) | ((size > 1) & (s0_gold == s1))
@@ -141,16 +150,21 @@ def cost_summary(system: str, state: Column, heads: Column, deprels: Column, n:
     (then all labels cost the same, otherwise each other label costs one more).
     """
 
-    def build(f: Column) -> Column:
-        ok, cost, arc = legality(system, state, f, n), arc_costs(system, state, f, heads, n), arcs(system, f)
+    def build(b: Column) -> Column:
+        f, g = b["f"], b["g"]
+        ok, cost, arc = legality(system, state, f, n), arc_costs(system, state, f, g), arcs(system, f)
+        dependent_gold = {"left": g["s0_gold"], "right": g["s0_gold"] if is_hybrid(system) else g["n0_gold"]}
         parts = [F.when(ok[k], cost[k]).otherwise(F.lit(ILLEGAL)).alias(k) for k in ("shift", "reduce", "left", "right")]
         for kind in ("left", "right"):
             head, dep = arc[kind]
-            gold = (dep > 0) & (at(heads, dep) == head)
-            parts.append(F.when(ok[kind] & gold, at(deprels, dep)).otherwise(F.lit(0)).alias(f"{kind}_gold"))
+            gold = (dep > 0) & (dependent_gold[kind] == head) & ok[kind]
+            parts.append(F.when(gold, at(deprels, dep)).otherwise(F.lit(0)).alias(f"{kind}_gold"))
         return F.struct(*parts)
 
-    return let(frame(state), build)
+    def focus(f: Column) -> Column:
+        return let(F.struct(f.alias("f"), gold_view(state, f, heads, n).alias("g")), build)
+
+    return let(frame(state), focus)
 
 
 def best_move(system: str, summary: Column) -> Column:
@@ -169,10 +183,10 @@ def move_costs(system: str, summary: Column) -> Column:
     """Cost of every move number as an array."""
 
     def cost(move: Column) -> Column:
-        label = (move / 2).cast("int") + 1
-        kind = F.when(move % 2 == 0, F.lit("left")).otherwise(F.lit("right"))
-        base = F.when(kind == "left", summary["left"]).otherwise(summary["right"])
-        gold = F.when(kind == "left", summary["left_gold"]).otherwise(summary["right_gold"])
+        label = F.shiftright(move, 1) + 1
+        is_left = move % 2 == 0
+        base = F.when(is_left, summary["left"]).otherwise(summary["right"])
+        gold = F.when(is_left, summary["left_gold"]).otherwise(summary["right_gold"])
         arc = base + ((base < ILLEGAL) & (gold > 0) & (gold != label)).cast("int")
         out = F.when(move == SHIFT, summary["shift"])
         if system != HYBRID_R1:
@@ -189,45 +203,67 @@ def legal_moves(system: str, state: Column, n: Column) -> Column:
     )
 
 
-def move_kind(system: str, move: Column) -> Column:
-    kind = F.when(move == SHIFT, F.lit("shift"))
-    if system != HYBRID_R1:
-        kind = kind.when(move == move_count(system), F.lit("reduce"))
-    return kind.when(move % 2 == 0, F.lit("left")).otherwise(F.lit("right"))
+def is_reduce(system: str, move: Column) -> Column:
+    return F.lit(False) if system == HYBRID_R1 else move == move_count(system)
+
+
+def is_left(system: str, move: Column) -> Column:
+    return (move % 2 == 0) & ~is_reduce(system, move)
+
+
+def is_right(move: Column) -> Column:
+    return (move % 2 == 1) & (move != SHIFT)
 
 
 def is_legal(system: str, move: Column, legal: Column) -> Column:
-    kind = move_kind(system, move)
-    in_range = (move >= 1) & (move <= move_count(system))
-    picked = F.when(kind == "shift", legal["shift"]).when(kind == "left", legal["left"])
-    return in_range & picked.when(kind == "right", legal["right"]).otherwise(legal["reduce"])
+    """Whether a move number is legal, given :func:`legal_moves`; numbers out of range are not."""
+    kinds = F.when(move == SHIFT, legal["shift"])
+    if system != HYBRID_R1:
+        kinds = kinds.when(move == move_count(system), legal["reduce"])
+    picked = kinds.when(move % 2 == 0, legal["left"]).otherwise(legal["right"])
+    return (move >= 1) & (move <= move_count(system)) & picked
+
+
+def put_at(array: Column, position: Column, value: Column) -> Column:
+    """The array with one element replaced."""
+    return F.concat(
+        F.slice(array, F.lit(1), position - 1), F.array(value), F.slice(array, position + 1, F.size(array))
+    )
 
 
 def apply_move(system: str, state: Column, move: Column) -> Column:
     """State after a legal move."""
 
-    def build(b: Column) -> Column:
-        f, kind = b["f"], b["kind"]
-        label = (move / 2).cast("int") + 1
-        left, right = arcs(system, f)["left"], arcs(system, f)["right"]
-        is_left, is_right = kind == "left", kind == "right"
-        has_arc = is_left | is_right
-        head = F.when(is_left, left[0]).otherwise(right[0])
-        dep = F.when(is_left, left[1]).otherwise(right[1])
-        pushes = (kind == "shift") if is_hybrid(system) else (kind == "shift") | is_right
-        put = lambda array, value: F.when(
-            has_arc, F.transform(array, lambda x, i: F.when(i + 1 == dep, value).otherwise(x))
-        ).otherwise(array)
+    def build(f: Column) -> Column:
+        left, right = is_left(system, move), is_right(move)
+        label = F.shiftright(move, 1) + 1
+        pairs = arcs(system, f)
+        pushes = move == SHIFT if is_hybrid(system) else (move == SHIFT) | right
+
+        def put(array: Column, left_value: Column, right_value: Column) -> Column:
+            return (
+                F.when(left, put_at(array, pairs["left"][1], left_value))
+                .when(right, put_at(array, pairs["right"][1], right_value))
+                .otherwise(array)
+            )
+
         return F.struct(
             F.when(pushes, F.concat(state["stack"], F.array(f["n0"])))
             .otherwise(F.slice(state["stack"], F.lit(1), F.greatest(f["size"] - 1, F.lit(0))))
             .alias("stack"),
             F.when(pushes, f["n0"] + 1).otherwise(f["n0"]).alias("wptr"),
-            put(state["head"], head).alias("head"),
-            put(state["deprel"], label).alias("deprel"),
+            put(state["head"], pairs["left"][0], pairs["right"][0]).alias("head"),
+            put(state["deprel"], label, label).alias("deprel"),
         )
 
-    return let(F.struct(frame(state).alias("f"), move_kind(system, move).alias("kind")), build)
+    return let(frame(state), build)
+
+
+def checked_move(system: str, state: Column, move: Column, n: Column) -> Column:
+    """Like :func:`apply_move`, but an illegal or unknown move is an error."""
+    legal = legal_moves(system, state, n)
+    ok = let(legal, lambda okay: is_legal(system, move, okay))
+    return F.when(ok, apply_move(system, state, move)).otherwise(F.raise_error(F.lit("illegal move")))
 
 
 def is_final(state: Column, n: Column) -> Column:

@@ -72,14 +72,15 @@ def gold_states(sents: DataFrame, system: str = tr.DEFAULT_SYSTEM) -> DataFrame:
             ),
         )
 
-    traced = sents.withColumn("_trace", _fold(system, start, step)["trace"])
-    return (
-        traced.select(*sents.columns, F.posexplode("_trace").alias("_pos", "_t"))
-        .withColumn("step", F.col("_pos") + 1)
-        .withColumn("state", F.col("_t.state"))
-        .withColumn("move", F.col("_t.move"))
-        .withColumn("cost", F.col("_t.cost"))
-        .drop("_pos", "_t")
+    # the fold sits inside the generator: as a column of its own it would run once more for the
+    # size filter that the optimizer adds in front of an explode
+    trace = _fold(system, start, step)["trace"]
+    return sents.select(*sents.columns, F.posexplode(trace).alias("_pos", "_t")).select(
+        *sents.columns,
+        (F.col("_pos") + 1).alias("step"),
+        F.col("_t.state").alias("state"),
+        F.col("_t.move").alias("move"),
+        F.col("_t.cost").alias("cost"),
     )
 
 

@@ -23,9 +23,9 @@ def sentences(lines: DataFrame) -> DataFrame:
 def tokens(sents: DataFrame) -> DataFrame:
     """One row per token: ``sent_id, tok_id, word`` plus the other columns of the sentence."""
     keep = [c for c in sents.columns if c not in ("words", "n")]
-    return sents.select(*keep, F.posexplode("words").alias("pos", "word")).select(
-        *keep, (F.col("pos") + 1).alias("tok_id"), "word"
-    )
+    # the outer form keeps the optimizer from tokenising once more to test for empty arrays
+    rows = sents.select(*keep, F.posexplode_outer("words").alias("pos", "word"))
+    return rows.where(F.col("pos").isNotNull()).select(*keep, (F.col("pos") + 1).alias("tok_id"), "word")
 
 
 def word_counts(words: DataFrame) -> DataFrame:

@@ -642,7 +642,7 @@ def apply_moves(spark, d):
     sents = tb.sound(vw.treebank(spark, d))
     runs = gold.gold_moves(sents).select("sent_id", "n", "moves").join(sents.select("sent_id", "heads", "deprels"), "sent_id")
     replay = F.aggregate(
-        "moves", tr.start_state(F.col("n")), lambda s, m: tr.apply_move(tr.DEFAULT_SYSTEM, s, m)
+        "moves", tr.start_state(F.col("n")), lambda s, m: tr.checked_move(tr.DEFAULT_SYSTEM, s, m, F.col("n"))
     )
     done = runs.withColumn("end", replay)
     return done.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arbolex.functions.labels import DEPREL, ROOT, UPOS
 from arbolex.functions.text import split_words
+from arbolex.functions.transitions import let
 from arbolex.operators import vocabulary as vo
 from arbolex.session import spread
 from arbolex.sources.text import sentence_id, text_lines
@@ -44,13 +45,13 @@ def treebank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     size = SENTENCE_WORDS
 
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(size))
+        whole = F.transform(starts, lambda i: F.slice(words, i + 1, size))
+        return F.when(F.size(words) > 0, whole).otherwise(F.array().cast("array<array<string>>"))
+
     def chunks(line: Column) -> Column:
-        words = split_words(line)
-        starts = F.filter(
-            F.sequence(F.lit(0), F.floor((F.size(words) + size - 1) / size).cast("int")),
-            lambda i: i * size < F.size(words),
-        )
-        return F.transform(starts, lambda i: F.slice(words, i * size + 1, size))
+        return let(split_words(line), cut)
 
     parts = F.flatten(F.transform(F.split("text", "\n"), chunks))
     sents = documents(spark, sf_dir).select(
