@@ -40,8 +40,11 @@ def move_count(system: str, labels: int = N_DEPREL) -> int:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once for all its uses in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Bind ``value`` once for all its uses in ``body``.
+
+    The finish step of a fold over nothing: unlike ``transform`` it does not copy the value.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def at(array: Column, position: Column) -> Column:
@@ -72,16 +75,16 @@ def frame(state: Column) -> Column:
     )
 
 
-def gold_view(state: Column, f: Column, heads: Column, n: Column) -> Column:
+def gold_view(state: Column, f: Column, heads: Column) -> Column:
     """Gold heads of the words in focus and the gold arcs still open on both sides."""
     s0, n0 = f["s0"], f["n0"]
     waiting = F.filter(state["stack"], lambda w: (at(heads, w) == n0) & (at(state["head"], w) == 0))
-    rest = F.slice(heads, n0, F.greatest(n - n0 + 1, F.lit(0)))
+    ahead = F.filter(heads, lambda h, i: (h == s0) & (i + 1 >= n0))
     return F.struct(
         at(heads, s0).alias("s0_gold"),
         at(heads, n0).alias("n0_gold"),
         F.size(waiting).alias("lost_left"),
-        (F.size(rest) - F.size(F.array_remove(rest, s0))).alias("lost_right"),
+        F.size(ahead).alias("lost_right"),
     )
 
 
@@ -162,7 +165,7 @@ def cost_summary(system: str, state: Column, heads: Column, deprels: Column, n:
         return F.struct(*parts)
 
     def focus(f: Column) -> Column:
-        return let(F.struct(f.alias("f"), gold_view(state, f, heads, n).alias("g")), build)
+        return let(F.struct(f.alias("f"), gold_view(state, f, heads).alias("g")), build)
 
     return let(frame(state), focus)
 
@@ -226,9 +229,7 @@ def is_legal(system: str, move: Column, legal: Column) -> Column:
 
 def put_at(array: Column, position: Column, value: Column) -> Column:
     """The array with one element replaced."""
-    return F.concat(
-        F.slice(array, F.lit(1), position - 1), F.array(value), F.slice(array, position + 1, F.size(array))
-    )
+    return F.transform(array, lambda x, i: F.when(i + 1 == position, value).otherwise(x))
 
 
 def apply_move(system: str, state: Column, move: Column) -> Column:
@@ -248,8 +249,8 @@ def apply_move(system: str, state: Column, move: Column) -> Column:
             )
 
         return F.struct(
-            F.when(pushes, F.concat(state["stack"], F.array(f["n0"])))
-            .otherwise(F.slice(state["stack"], F.lit(1), F.greatest(f["size"] - 1, F.lit(0))))
+            F.when(pushes, F.array_append(state["stack"], f["n0"]))
+            .otherwise(F.filter(state["stack"], lambda _, i: i + 1 < f["size"]))
             .alias("stack"),
             F.when(pushes, f["n0"] + 1).otherwise(f["n0"]).alias("wptr"),
             put(state["head"], pairs["left"][0], pairs["right"][0]).alias("head"),

@@ -36,8 +36,8 @@ def gold_moves(sents: DataFrame, system: str = tr.DEFAULT_SYSTEM) -> DataFrame:
             _choice(system, acc["state"]),
             lambda best: F.struct(
                 tr.apply_move(system, acc["state"], best["move"]).alias("state"),
-                F.concat(acc["moves"], F.array(best["move"])).alias("moves"),
-                F.concat(acc["costs"], F.array(best["cost"])).alias("costs"),
+                F.array_append(acc["moves"], best["move"]).alias("moves"),
+                F.array_append(acc["costs"], best["cost"]).alias("costs"),
             ),
         )
 
@@ -61,13 +61,9 @@ def gold_states(sents: DataFrame, system: str = tr.DEFAULT_SYSTEM) -> DataFrame:
             _choice(system, acc["state"]),
             lambda best: F.struct(
                 tr.apply_move(system, acc["state"], best["move"]).alias("state"),
-                F.concat(
+                F.array_append(
                     acc["trace"],
-                    F.array(
-                        F.struct(
-                            acc["state"].alias("state"), best["move"].alias("move"), best["cost"].alias("cost")
-                        )
-                    ),
+                    F.struct(acc["state"].alias("state"), best["move"].alias("move"), best["cost"].alias("cost")),
                 ).alias("trace"),
             ),
         )

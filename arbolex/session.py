@@ -58,7 +58,7 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, tasks_per_core: int = 3) -> DataFrame:
     """Rebalance a scan that has fewer splits than the session has cores (few, small files)."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * tasks_per_core) if df.rdd.getNumPartitions() < cores else df
