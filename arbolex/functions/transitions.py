@@ -183,20 +183,26 @@ def best_move(system: str, summary: Column) -> Column:
 
 
 def move_costs(system: str, summary: Column) -> Column:
-    """Cost of every move number as an array."""
+    """Cost of every move number as an array.
 
-    def cost(move: Column) -> Column:
-        label = F.shiftright(move, 1) + 1
-        is_left = move % 2 == 0
-        base = F.when(is_left, summary["left"]).otherwise(summary["right"])
-        gold = F.when(is_left, summary["left_gold"]).otherwise(summary["right_gold"])
-        arc = base + ((base < ILLEGAL) & (gold > 0) & (gold != label)).cast("int")
-        out = F.when(move == SHIFT, summary["shift"])
-        if system != HYBRID_R1:
-            out = out.when(move == move_count(system), summary["reduce"])
-        return out.otherwise(arc)
-
-    return F.transform(F.sequence(F.lit(1), F.lit(move_count(system))), cost)
+    Both directions are runs of one value around the gold label, woven together at the end.
+    """
+    labels = N_DEPREL - 1
+
+    def direction(kind: str) -> Column:
+        base, gold = summary[kind], summary[f"{kind}_gold"]
+        others = F.array_repeat(base + 1, gold - 2)
+        rest = F.array_repeat(base + 1, labels + 1 - gold)
+        misplaced = F.array_repeat(base + 1, F.lit(labels))  # a gold arc labelled root has no move
+        return (
+            F.when(gold > 1, F.concat(others, F.array(base), rest))
+            .when(gold == 1, misplaced)
+            .otherwise(F.array_repeat(base, F.lit(labels)))
+        )
+
+    woven = F.flatten(F.zip_with(direction("left"), direction("right"), lambda a, b: F.array(a, b)))
+    last = [] if system == HYBRID_R1 else [F.array(summary["reduce"])]
+    return F.concat(F.array(summary["shift"]), woven, *last)
 
 
 def legal_moves(system: str, state: Column, n: Column) -> Column:

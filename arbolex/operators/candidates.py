@@ -34,15 +34,9 @@ def logsumexp(values: DataFrame, by: Sequence[str], value: str = "score", name:
         .groupBy(*by, "_bin")
         .agg(F.sum(F.exp(F.col(value) - F.col("_bin") * BIN)).alias("_part"))
     )
-    parts = bins.groupBy(*by).agg(
-        F.max("_bin").alias("_top"), F.collect_list(F.struct("_bin", "_part")).alias("_parts")
-    )
-    scaled = F.aggregate(
-        "_parts",
-        F.lit(0.0),
-        lambda acc, p: acc + p["_part"] * F.exp(((p["_bin"] - F.col("_top")) * BIN).cast("double")),
-    )
-    return parts.select(*by, (F.col("_top") * BIN + F.log(scaled)).alias(name))
+    topped = bins.withColumn("_top", F.max("_bin").over(Window.partitionBy(*by)))
+    scaled = F.col("_part") * F.exp(((F.col("_bin") - F.col("_top")) * BIN).cast("double"))
+    return topped.groupBy(*by).agg((F.max("_top") * BIN + F.log(F.sum(scaled))).alias(name))
 
 
 def gold_candidate(candidates: DataFrame, by: str = "sent_id") -> DataFrame:

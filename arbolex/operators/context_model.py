@@ -94,7 +94,7 @@ def other_fold(tri: DataFrame) -> DataFrame:
 
 
 def token_logprob(ctx: DataFrame, scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Attach ``logp`` to every token. ``scored`` has the distinct (l, w, r) rows with ``n, logp``.
+    """Attach ``logp`` to every token (or counted group of tokens). ``scored`` has the distinct (l, w, r) rows with ``n, logp``.
 
     A single trigram (three unknown words) can be a large part of a corpus, hence the hot join.
     """

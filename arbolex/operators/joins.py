@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbolex.session import materialize
+
 # At most this many hot keys are broadcast; any other key holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 10_000
 
 
 def hottest(counts: DataFrame, keys: Sequence[str], n: str = "n", limit: int = HOT_KEYS) -> DataFrame:
-    """The ``limit`` most frequent keys, an upper bound on what a broadcast may hold."""
-    return counts.orderBy(F.col(n).desc(), *keys).limit(limit).select(*keys)
+    """The ``limit`` most frequent keys, an upper bound on what a broadcast may hold.
+
+    Written out, since a hot join reads them three times.
+    """
+    return materialize(counts.orderBy(F.col(n).desc(), *keys).limit(limit).select(*keys), "hot-keys")
 
 
 def hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame, how: str = "left") -> DataFrame:

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbolex.operators.joins import hot_join, hottest
 from arbolex.operators.numbering import number_rows
 
 WARM, DECAY = 100, 0.99
@@ -39,9 +40,9 @@ def running_loss(
     if start is None:
         rows = rows.withColumn("k0", F.lit(0)).withColumn("avg0", F.lit(0.0))
     else:
-        # one row per series, far smaller than the values; a hot series must not be shuffled on its name
         known = start.select("series", F.col("k0").cast("bigint").alias("k0"), "avg0")
-        rows = rows.join(F.broadcast(known), "series", "left").fillna({"k0": 0, "avg0": 0.0})
+        sizes = values.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+        rows = hot_join(rows, known, ["series"], hottest(sizes, ["series"])).fillna({"k0": 0, "avg0": 0.0})
     rows = rows.withColumn("k", F.col("_rn") + F.col("k0"))
 
     # mean part: at most warm - 1 rows per series
@@ -49,7 +50,6 @@ def running_loss(
     mean = rows.where(F.col("k") < warm).withColumn(
         "avg_loss", (F.col("avg0") * F.col("k0") + F.sum("loss").over(order)) / F.col("k")
     )
-    last_mean = mean.groupBy("series").agg(F.max_by("avg_loss", "k").alias("seed"))
 
     # decayed part: index m counts from the first decayed row of this run
     tail = rows.where(F.col("k") >= warm)
@@ -60,7 +60,13 @@ def running_loss(
     tail = tail.withColumn(
         "local", (1 - decay) * F.pow(F.lit(decay), F.col("o")) * F.sum(weighted).over(inside)
     )
-    ends = tail.groupBy("series", "c").agg(F.max_by("local", "o").alias("end"), F.max("o").alias("len"))
+    ends = tail.groupBy("series", "c").agg(F.max_by("local", "o").alias("end"))
+    # what the series starts from counts as the end of a chunk before the first
+    before = F.lit(-1).cast("bigint").alias("c")
+    from_mean = mean.groupBy("series").agg(F.max_by("avg_loss", "k").alias("end"))
+    from_start = tail.where((F.col("m") == 0) & (F.col("k0") >= warm - 1)).select("series", before, "avg0")
+    seeds = from_mean.select("series", before, "end").unionByName(from_start.withColumnRenamed("avg0", "end"))
+    ends = ends.unionByName(seeds)
 
     # each chunk end reaches the next few chunks with a shrinking weight
     reach = F.explode(F.sequence(F.lit(1), F.lit(carries)))
@@ -74,13 +80,9 @@ def running_loss(
         .groupBy("series", "c")
         .agg(F.sum("part").alias("carry"))
     )
-    out = tail.join(carried, ["series", "c"], "left").join(F.broadcast(last_mean), "series", "left")
-    seed = F.when(F.col("k0") >= warm - 1, F.col("avg0")).otherwise(F.coalesce("seed", F.lit(0.0)))
-    out = out.withColumn(
+    out = tail.join(carried, ["series", "c"], "left").withColumn(
         "avg_loss",
-        F.col("local")
-        + F.pow(F.lit(decay), F.col("o") + 1) * F.coalesce("carry", F.lit(0.0))
-        + F.pow(F.lit(decay), F.col("m").cast("double") + 1) * seed,
+        F.col("local") + F.pow(F.lit(decay), F.col("o") + 1) * F.coalesce("carry", F.lit(0.0)),
     )
     final = ["series", "ord", "k", "loss", "avg_loss"]
     return mean.select(*final).unionByName(out.select(*final))

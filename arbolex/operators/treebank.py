@@ -94,20 +94,22 @@ def dependents(tokens: DataFrame, *values: str) -> DataFrame:
 
 
 def valency(tokens: DataFrame) -> DataFrame:
-    """Left and right dependent counts of every word, as buckets ``min(count + 1, 10)``."""
-    side = lambda cond: F.sum(cond.cast("int"))
-    counts = (
-        tokens.where(F.col("head") > 0)
-        .groupBy("sent_id", F.col("head").alias("tok_id"))
-        .agg(
-            side(F.col("tok_id") < F.col("head")).alias("nl"),
-            side(F.col("tok_id") > F.col("head")).alias("nr"),
-        )
+    """Left and right dependent counts of every word, as buckets ``min(count + 1, 10)``.
+
+    Each token stands for itself and for its arc, so one aggregate does without a self-join.
+    """
+    arc = lambda word, left, right: F.struct(
+        word.alias("tok_id"), left.cast("int").alias("nl"), right.cast("int").alias("nr")
     )
-    bucket = lambda c: F.least(F.coalesce(c, F.lit(0)) + 1, F.lit(COUNT_CAP)).cast("int")
-    return tokens.select("sent_id", "tok_id").join(counts, ["sent_id", "tok_id"], "left").select(
-        "sent_id", "tok_id", bucket(F.col("nl")).alias("left_bucket"), bucket(F.col("nr")).alias("right_bucket")
+    tok, head = F.col("tok_id"), F.col("head")
+    none = F.lit(0)
+    parts = F.array(arc(tok, none, none), arc(F.when(head > 0, head), tok < head, tok > head))
+    rows = tokens.select("sent_id", F.explode(parts).alias("p")).where(F.col("p.tok_id").isNotNull())
+    counts = rows.groupBy("sent_id", F.col("p.tok_id").alias("tok_id")).agg(
+        F.sum("p.nl").alias("nl"), F.sum("p.nr").alias("nr")
     )
+    bucket = lambda c: F.least(F.col(c) + 1, F.lit(COUNT_CAP)).cast("int")
+    return counts.select("sent_id", "tok_id", bucket("nl").alias("left_bucket"), bucket("nr").alias("right_bucket"))
 
 
 def vector_sums(tokens: DataFrame, label_vectors: DataFrame) -> DataFrame:

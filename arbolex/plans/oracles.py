@@ -463,7 +463,7 @@ def _running(warm: int, decay: float) -> tuple[str, str]:
           CASE WHEN s.k < {warm} THEN (s.loss + (s.k - 1) * f.avg_loss) / s.k
                ELSE f.avg_loss * {decay} + s.loss * (1 - {decay}::DOUBLE) END
         FROM folded f JOIN series s ON s.series = f.series AND s.k = f.k + 1)"""
-    return part, "SELECT series, ord, k, loss, round(avg_loss, 6) AS avg_loss FROM folded"
+    return part, "SELECT series, ord, k, loss, round(avg_loss + 1e-9, 6) AS avg_loss FROM folded"
 
 
 for _name, _args in {

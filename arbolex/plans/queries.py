@@ -50,6 +50,11 @@ def digest(ids: Column) -> Column:
     return F.md5(tx.joined(ids))
 
 
+def settled(value: Column) -> Column:
+    """Six decimals; the nudge keeps exact ties (means over 64 values) from falling either way."""
+    return F.round(value + 1e-9, 6)
+
+
 # ---- scans, sources, sinks
 
 
@@ -394,13 +399,13 @@ def shuffle_batches(spark, d):
 @query
 def running_loss(spark, d):
     out = se.running_loss(vw.loss_series(spark, d))
-    return out.withColumn("avg_loss", F.round("avg_loss", 6))
+    return out.withColumn("avg_loss", settled(F.col("avg_loss")))
 
 
 @query
 def running_loss_parser(spark, d):
     out = se.running_loss(vw.loss_series(spark, d), se.PARSER_WARM, se.PARSER_DECAY)
-    return out.withColumn("avg_loss", F.round("avg_loss", 6))
+    return out.withColumn("avg_loss", settled(F.col("avg_loss")))
 
 
 @query
@@ -531,7 +536,8 @@ def perplexity_by_lang(spark, d):
     keys = ["fold", "l", "w", "r"]
     ctx, scored = cm.cross_fitted(sents, vocab, ["lang", "source"])
     groups = ctx.groupBy("lang", "source", *keys).agg(F.count(F.lit(1)).alias("n"))
-    out = cm.perplexity(groups.join(scored.select(*keys, "logp"), keys), ["lang", "source"])
+    groups = cm.token_logprob(groups, materialize(scored, "scored"), ["fold"])
+    out = cm.perplexity(groups, ["lang", "source"])
     return out.withColumn("perplexity", F.round("perplexity", 6))
 
 
@@ -623,17 +629,20 @@ def move_costs(spark, d):
     summary = tr.cost_summary(
         tr.DEFAULT_SYSTEM, F.col("state"), F.col("heads"), F.col("deprels"), F.col("n")
     )
-    costs = tr.let(summary, lambda s: tr.move_costs(tr.DEFAULT_SYSTEM, s))
-    legal = states.withColumn("c", F.filter(F.transform(costs, _numbered), lambda c: c["cost"] < tr.ILLEGAL))
-    return legal.groupBy("sent_id").agg(
-        F.sum(F.size("c")).alias("n_legal"),
-        F.sum(F.aggregate("c", F.lit(0), lambda a, c: a + c["cost"])).alias("cost_sum"),
-        F.sum(F.aggregate("c", F.lit(0), lambda a, c: a + c["cost"] * c["move"])).alias("weighted_sum"),
+    costs = states.select("sent_id", tr.let(summary, lambda s: tr.move_costs(tr.DEFAULT_SYSTEM, s)).alias("costs"))
+    sums = F.aggregate(
+        "costs",
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("cost"), F.lit(0).alias("weighted")),
+        lambda a, c: F.struct(
+            (a["at"] + 1).alias("at"),
+            (a["n"] + (c < tr.ILLEGAL).cast("int")).alias("n"),
+            (a["cost"] + F.when(c < tr.ILLEGAL, c).otherwise(0)).alias("cost"),
+            (a["weighted"] + F.when(c < tr.ILLEGAL, c * (a["at"] + 1)).otherwise(0)).alias("weighted"),
+        ),
+    )
+    return costs.select("sent_id", sums.alias("s")).groupBy("sent_id").agg(
+        F.sum("s.n").alias("n_legal"), F.sum("s.cost").alias("cost_sum"), F.sum("s.weighted").alias("weighted_sum")
     )
-
-
-def _numbered(cost: Column, i: Column) -> Column:
-    return F.struct(cost.alias("cost"), (i + 1).alias("move"))
 
 
 @query
@@ -766,4 +775,4 @@ def stream_running_loss(spark, d):
         values.where(part == i).write.mode("append").parquet(folder)
         arriving = spark.readStream.schema(values.schema).parquet(folder)
         out = ss.stream_running_loss(arriving, path, se.WARM, se.DECAY)
-    return out.select("series", "ord", "k", "loss", F.round("avg_loss", 6).alias("avg_loss"))
+    return out.select("series", "ord", "k", "loss", settled(F.col("avg_loss")).alias("avg_loss"))
