@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbolex.functions.labels import N_DEPREL, ROOT
+from arbolex.functions.transitions import let
 
 COUNT_CAP = 10
 
@@ -60,14 +61,16 @@ def ancestors(sents: DataFrame, steps: int = 2) -> DataFrame:
     Heads are looked up in the sentence's own array, so no self-join is needed.
     """
 
-    def climb(tok: Column) -> Column:
+    def climb(heads: Column, tok: Column) -> Column:
         out, at = [], tok
         for _ in range(steps):
-            at = F.nullif(F.get("heads", at - 1), F.lit(0))
+            at = F.nullif(F.get(heads, at - 1), F.lit(0))
             out.append(at)
         return F.array(*out)
 
-    chains = F.transform(F.sequence(F.lit(1), F.col("n")), climb)
+    # bound, so that the heads are not computed again for every word
+    positions = F.sequence(F.lit(1), F.col("n"))
+    chains = let(F.col("heads"), lambda heads: F.transform(positions, lambda tok: climb(heads, tok)))
     return sents.select("sent_id", F.posexplode(chains).alias("pos", "chain")).select(
         "sent_id",
         (F.col("pos") + 1).alias("tok_id"),

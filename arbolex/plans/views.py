@@ -122,11 +122,10 @@ def conllu_lines(sents: DataFrame, noisy: bool = False) -> DataFrame:
     """
     tags, labels = (F.array(*[F.lit(x) for x in names]) for names in (UPOS, DEPREL))
 
-    def word(i: Column) -> Column:
-        t, form = i + 1, F.get("forms", i)
+    def word(w: Column, i: Column) -> Column:
+        t, form = i + 1, w["forms"]
         length = F.length(form)
-        tag, head = F.get(tags, F.get("upos", i) - 1), F.get("heads", i).cast("string")
-        label = F.get(labels, F.get("deprels", i) - 1)
+        tag, head, label = F.get(tags, w["upos"] - 1), w["heads"].cast("string"), F.get(labels, w["deprels"] - 1)
         if noisy:
             tag = F.when(length % 11 == 0, F.lit("ZZZ")).otherwise(tag)
             head = F.when(length % 13 == 0, F.lit("_")).otherwise(head)
@@ -135,7 +134,8 @@ def conllu_lines(sents: DataFrame, noisy: bool = False) -> DataFrame:
         none = F.lit("_")
         return F.concat_ws("\t", t.cast("string"), form, none, tag, none, none, head, label, none, none)
 
-    words = F.transform(F.sequence(F.lit(0), F.col("n") - 1), word)
+    # zipped, so that the arrays are computed once per sentence and not once per word in the lambda
+    words = F.transform(F.arrays_zip("forms", "upos", "heads", "deprels"), word)
     comment = F.array(F.concat(F.lit("# sent_id = "), F.col("sent_id").cast("string")))
     extra = lambda key: F.lit("\t".join([key, "_", "_", "X", "_", "_", "_", "_", "_", "_"]))
     wide = F.col("n") > 1
