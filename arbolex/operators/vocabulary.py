@@ -85,15 +85,13 @@ def ranked_words(counts: DataFrame) -> DataFrame:
     return counts.select(F.struct((-F.col("n")).alias("neg_n"), F.col("word").alias("w")).alias("pos"), "word")
 
 
-def coverage(counts: DataFrame, size: int) -> DataFrame:
-    """Share of the token mass held by the ``size`` most frequent words, in percent."""
+def coverage(counts: DataFrame, *sizes: int) -> DataFrame:
+    """Share of the token mass held by the most frequent words, in percent, for each vocabulary size."""
     total = counts.agg(F.sum("n").alias("total"))
-    covered = sorted_counts(counts).limit(size).agg(F.sum("n").alias("covered"))
-    return covered.select(
-        F.lit(size).alias("vocab_size"),
-        "covered",
-        total.scalar().alias("total"),
-        (F.col("covered") / total.scalar() * 100).alias("coverage"),
+    ranked = top_n(counts, max(sizes)).select("n", "rank", F.explode(F.lit(list(sizes))).alias("vocab_size"))
+    covered = ranked.where(F.col("rank") <= F.col("vocab_size")).groupBy("vocab_size").agg(F.sum("n").alias("covered"))
+    return covered.withColumn("total", total.scalar()).withColumn(
+        "coverage", F.col("covered") / F.col("total") * 100
     )
 
 

@@ -274,11 +274,7 @@ def word_count_sorted(spark, d):
 
 @query
 def vocab_coverage(spark, d):
-    counts = vw.word_counts(spark, d)
-    out = None
-    for size in COVERAGE_SIZES:
-        one = vo.coverage(counts, size)
-        out = one if out is None else out.unionByName(one)
+    out = vo.coverage(vw.word_counts(spark, d), *COVERAGE_SIZES)
     return out.withColumn("coverage", F.round("coverage", 6))
 
 
