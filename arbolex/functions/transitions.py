@@ -75,10 +75,16 @@ def frame(state: Column) -> Column:
     )
 
 
-def gold_view(state: Column, f: Column, heads: Column) -> Column:
+def gold_view(system: str, state: Column, f: Column, heads: Column) -> Column:
     """Gold heads of the words in focus and the gold arcs still open on both sides."""
     s0, n0 = f["s0"], f["n0"]
-    waiting = F.filter(state["stack"], lambda w: (at(heads, w) == n0) & (at(state["head"], w) == 0))
+
+    def waits(word: Column) -> Column:
+        arc = F.get(heads, word - 1) == n0
+        # in the hybrid systems no word on the stack has a head
+        return arc if is_hybrid(system) else arc & (F.get(state["head"], word - 1) == 0)
+
+    waiting = F.filter(state["stack"], waits)
     ahead = F.filter(heads, lambda h, i: (h == s0) & (i + 1 >= n0))
     return F.struct(
         at(heads, s0).alias("s0_gold"),
@@ -165,7 +171,7 @@ def cost_summary(system: str, state: Column, heads: Column, deprels: Column, n:
         return F.struct(*parts)
 
     def focus(f: Column) -> Column:
-        return let(F.struct(f.alias("f"), gold_view(state, f, heads).alias("g")), build)
+        return let(F.struct(f.alias("f"), gold_view(system, state, f, heads).alias("g")), build)
 
     return let(frame(state), focus)
 

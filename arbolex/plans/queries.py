@@ -625,19 +625,12 @@ def move_costs(spark, d):
     summary = tr.cost_summary(
         tr.DEFAULT_SYSTEM, F.col("state"), F.col("heads"), F.col("deprels"), F.col("n")
     )
-    costs = states.select("sent_id", tr.let(summary, lambda s: tr.move_costs(tr.DEFAULT_SYSTEM, s)).alias("costs"))
-    sums = F.aggregate(
-        "costs",
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("cost"), F.lit(0).alias("weighted")),
-        lambda a, c: F.struct(
-            (a["at"] + 1).alias("at"),
-            (a["n"] + (c < tr.ILLEGAL).cast("int")).alias("n"),
-            (a["cost"] + F.when(c < tr.ILLEGAL, c).otherwise(0)).alias("cost"),
-            (a["weighted"] + F.when(c < tr.ILLEGAL, c * (a["at"] + 1)).otherwise(0)).alias("weighted"),
-        ),
-    )
-    return costs.select("sent_id", sums.alias("s")).groupBy("sent_id").agg(
-        F.sum("s.n").alias("n_legal"), F.sum("s.cost").alias("cost_sum"), F.sum("s.weighted").alias("weighted_sum")
+    costs = tr.let(summary, lambda s: tr.move_costs(tr.DEFAULT_SYSTEM, s))
+    rows = states.select("sent_id", F.posexplode(costs).alias("pos", "cost")).where(F.col("cost") < tr.ILLEGAL)
+    return rows.groupBy("sent_id").agg(
+        F.count(F.lit(1)).alias("n_legal"),
+        F.sum("cost").alias("cost_sum"),
+        F.sum(F.col("cost") * (F.col("pos") + 1)).alias("weighted_sum"),
     )
 
 
@@ -682,9 +675,9 @@ def feature_anchors(spark, d):
 def transition_features(spark, d):
     """Active sparse features along the sequences, added up per sentence."""
     rows = fe.transition_features(_states(spark, d, tr.DEFAULT_SYSTEM, "upos"))
-    return rows.groupBy("sent_id").agg(
-        F.sum(F.size("feature_ids")).alias("n_active"),
-        F.sum(F.aggregate("feature_ids", F.lit(0), lambda a, i: a + i) * F.col("step")).alias("id_sum"),
+    active = rows.select("sent_id", "step", F.explode_outer("feature_ids").alias("feature"))
+    return active.groupBy("sent_id").agg(
+        F.count("feature").alias("n_active"), F.sum(F.col("feature") * F.col("step")).alias("id_sum")
     )
 
 
