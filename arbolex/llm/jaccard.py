@@ -10,10 +10,11 @@ partial counts are summed per pair.
    shingle that very many documents share is one entry per chunk.
 2. *Segments.* The remaining distinct sets count all their shingles the same way. The order now is by frequency, rare
    first; shingles of one set only drop out, the rest becomes one segment per (set, fragment).
-3. *Join.* Sets that share a shingle of their prefix are candidates. A candidate pair's overlap is the sum of its
+3. *Join.* Sets whose prefixes share enough shingles are candidates. A candidate pair's overlap is the sum of its
    partial overlaps per fragment, an exact count. A large group of near copies has about the square of its size in
-   pairs, so each round compares a set with one leader of the buckets it is in; what is still apart after the rounds is
-   compared in full, all candidate pairs of different components. So every set ends in its right component.
+   pairs, so each round compares a set with one leader of the buckets it is in, the set with the most common shingles
+   first; what is still apart after the rounds is compared in full, all candidate pairs of different components. So
+   every set ends in its right component.
 
 Defined results. A null or empty text has an empty set and is linked with nothing. Repeated rows and texts of equal
 sets are one class, so linked. A row without id takes part; its class goes by the smallest id that is there, or null.
@@ -188,7 +189,7 @@ def screened(documents: DataFrame, fragments: int, width: int) -> DataFrame:
 
 
 CHUNK_ROW = "chunk long, cids binary, sizes binary, tokens binary"
-SEGMENT_ROW = "cid binary, n long, frag int, tokens array<long>"
+SEGMENT_ROW = "cid binary, n long, common double, frag int, tokens array<long>"
 PREFIX = -1
 
 
@@ -224,7 +225,7 @@ def segments(documents: DataFrame, chosen: DataFrame, fragments: int, width: int
         return pa.table({"chunk": table.column("chunk"), "frag": table.column("frag"), "df": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
-        cids, ns, frags, lists = [], [], [], []
+        cids, ns, commons, frags, lists = [], [], [], [], []
         df_of = {f.as_py(): numbers(c, np.uint32) for f, c in zip(right.column("frag"), right.column("df"), strict=True)}
         for row in range(len(left)):
             grams = numbers(left.column("tokens")[row])
@@ -242,19 +243,21 @@ def segments(documents: DataFrame, chosen: DataFrame, fragments: int, width: int
                 needed = -(-75 * n // 100)
                 if shared.sum() < needed:
                     continue
+                common = float(np.log2(often).mean())
                 own, level = own[shared], np.frexp(often[shared].astype(float))[1]
                 order = np.lexsort((own, level))
-                own, level = own[order], level[order]
+                own, level = own[order], level[order] // 2
                 alone = n - len(own)  # shingles of no other set come first in the order and match nothing
-                piece = level.astype(np.int64) * 4 + (own >> np.uint64(62)).astype(np.int64)
+                piece = level.astype(np.int64) * 2 + (own >> np.uint64(63)).astype(np.int64)
                 starts = np.unique(piece, return_index=True)
                 cuts = [(PREFIX, own[: max(0, n - needed + 1 - alone)])]
                 cuts += [(int(f), part) for f, part in zip(starts[0], np.split(own, starts[1][1:]), strict=True)]
                 for f, part in cuts:
-                    cids.append(key.tobytes()), ns.append(n), frags.append(f), lists.append(part.view(np.int64))
+                    cids.append(key.tobytes()), ns.append(n), commons.append(common), frags.append(f), lists.append(part.view(np.int64))
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
         values = np.concatenate([np.empty(0, np.int64), *lists])
-        return pa.table({"cid": pa.array(cids, pa.binary()), "n": pa.array(ns, pa.int64()), "frag": pa.array(frags, pa.int32()),
+        return pa.table({"cid": pa.array(cids, pa.binary()), "n": pa.array(ns, pa.int64()),
+                         "common": pa.array(commons, pa.float64()), "frag": pa.array(frags, pa.int32()),
                          "tokens": pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))})
 
     texts = (
@@ -286,6 +289,13 @@ def similar_size(a: str, b: str):
     return (F.lit(100) * F.least(a, b)) >= (F.lit(75) * F.greatest(a, b))
 
 
+def enough(times: str, a: str, b: str):
+    """Can two sets link whose prefixes share that many shingles? Past the prefix lie ``ceil(0.75 n) - 1`` of a set,
+    and nothing else beyond the earlier of the two prefix ends; an overlap of 3/7 of both sizes is needed."""
+    after = F.ceil(F.greatest(a, b) * 3 / 4) - 1
+    return F.col(times) + after >= F.ceil((F.col(a) + F.col(b)) * 3 / 7)
+
+
 def linked(postings: DataFrame, segs: DataFrame) -> DataFrame | None:
     """(v, root) of the sets that link with another; None if no set does."""
     links, roots = None, None
@@ -293,9 +303,9 @@ def linked(postings: DataFrame, segs: DataFrame) -> DataFrame | None:
         held = postings.withColumn("comp", F.col("cid")) if roots is None else (
             postings.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
         )
-        held = held.select("token", "cid", "n", "comp")
+        held = held.select("token", "cid", "n", "common", "comp")
         if turn < ROUNDS:
-            rank = F.xxhash64(F.col("cid"), F.lit(turn))
+            rank = F.struct(-F.col("common"), F.xxhash64("cid")) if turn == 0 else F.xxhash64(F.col("cid"), F.lit(turn))
             leaders = (
                 held.groupBy("token")
                 .agg(F.min(F.struct(rank.alias("r"), "cid", "n", "comp")).alias("lead"),
@@ -308,6 +318,7 @@ def linked(postings: DataFrame, segs: DataFrame) -> DataFrame | None:
                 .where((F.col("comp") != F.col("other")) & similar_size("n", "nb"))
                 .groupBy(F.col("cid").alias("a"), F.col("n").alias("na"), "b", "nb")
                 .agg(F.count(F.lit(1)).alias("times"))
+                .where(enough("times", "na", "nb"))
                 .groupBy("a", "na")
                 .agg(F.max(F.struct("times", "b", "nb")).alias("best"))
                 .select("a", "na", "best.b", "best.nb")
@@ -325,8 +336,10 @@ def linked(postings: DataFrame, segs: DataFrame) -> DataFrame | None:
             pairs = (
                 outside.join(inside, "token")
                 .where(apart & similar_size("na", "nb"))
+                .groupBy("a", "na", "b", "nb")
+                .agg(F.count(F.lit(1)).alias("times"))
+                .where(enough("times", "na", "nb"))
                 .select("a", "na", "b", "nb")
-                .distinct()
             )
         found = materialize(overlaps(pairs, segs), "links")
         links = found if links is None else links.unionByName(found)
@@ -355,7 +368,7 @@ def jaccard_components(documents: DataFrame, width: int = 5) -> DataFrame:
     )
     segs = materialize(segments(documents, chosen, fragments, width), "segments")
     postings = materialize(
-        segs.where(F.col("frag") == PREFIX).select(F.explode("tokens").alias("token"), "cid", "n"), "postings"
+        segs.where(F.col("frag") == PREFIX).select(F.explode("tokens").alias("token"), "cid", "n", "common"), "postings"
     )
     roots = linked(postings, segs.where(F.col("frag") != PREFIX))
     classes = info.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("class_id"))
