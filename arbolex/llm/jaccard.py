@@ -244,9 +244,9 @@ def segments(documents: DataFrame, chosen: DataFrame, fragments: int, width: int
                 if shared.sum() < needed:
                     continue
                 common = float(np.log2(often).mean())
-                own, level = own[shared], np.frexp(often[shared].astype(float))[1]
+                own, level = own[shared], np.frexp(often[shared].astype(float))[1] // 2
                 order = np.lexsort((own, level))
-                own, level = own[order], level[order] // 2
+                own, level = own[order], level[order]
                 alone = n - len(own)  # shingles of no other set come first in the order and match nothing
                 piece = level.astype(np.int64) * 2 + (own >> np.uint64(63)).astype(np.int64)
                 starts = np.unique(piece, return_index=True)
