@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arbolex.llm.bpe import encode_documents
 from arbolex.llm.jaccard import jaccard_components
+from arbolex.llm.langid import identify
+from arbolex.llm.mix import mixed
 from arbolex.llm.quality import quality_rules
+from arbolex.llm.sql import MIX, TOP_K, WARC
+from arbolex.llm.vafile import top_k
+from arbolex.llm.warczip import warc_round_trip
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +29,29 @@ def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_round_trip(table(spark, folder, "pages"))
+
+
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(table(spark, folder, "documents"))
+
+
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(table(spark, folder, "documents"))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_ngram_jaccard_join)
+    f.__name__: f for f in (
+        op1_quality_rules, op3_ngram_jaccard_join, op5_exact_top_k, op6_warc, op7_byte_bpe, op8_source_mix, op9_language_id,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_exact_top_k": TOP_K, "op6_warc": WARC, "op8_source_mix": MIX}
