@@ -24,21 +24,21 @@ WITH sizes AS (
   FROM levels
 ), lines AS (
   SELECT s.*, t.source_size, t.target, round(t.target)::BIGINT AS words,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size, s.rw ROWS UNBOUNDED PRECEDING) - s.size AS at
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size, s.rw ROWS UNBOUNDED PRECEDING) - s.size AS spot
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(at + size, words) - least(at, words))
-        + greatest(0, least(at + source_size + size, words) - least(at + source_size, words))
-        + greatest(0, least(at + 2 * source_size + size, words) - least(at + 2 * source_size, words)))::BIGINT AS taken
+       (greatest(0, least(spot + size, words) - least(spot, words))
+        + greatest(0, least(spot + source_size + size, words) - least(spot + source_size, words))
+        + greatest(0, least(spot + 2 * source_size + size, words) - least(spot + 2 * source_size, words)))::BIGINT AS taken
 FROM lines
 """
 
 TOP_K = """
 WITH vectors AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
   FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
