@@ -348,40 +348,59 @@ def linked(postings: DataFrame, segs: DataFrame) -> DataFrame | None:
     return roots
 
 
-def jaccard_components(documents: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (smallest id of an equal set) of every document.
-
-    Sets link at a Jaccard similarity of 75 / 100, compared in whole numbers.
-    """
+def classed(documents: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, cid) of every row, and (cid, root) of the sets that link with others."""
     spark = documents.sparkSession
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT_BYTES))
     info = materialize(screened(documents.select("doc_id", "text"), fragments, width), "screened")
     least = F.ceil(F.col("n") * 3 / 4)
-    bound = F.greatest(F.lit(1), F.floor(least / 10))
     chosen = (
         info.where("n > 0 and doc_id is not null")
         .groupBy("cid")
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.max("shared").alias("shared"), F.first("n").alias("n"))
-        .where(F.col("shared") >= bound)
+        .where(F.col("shared") >= F.greatest(F.lit(1), F.floor(least / 10)))
         .select("r.doc_id", "r.text_hash")
     )
     segs = materialize(segments(documents, chosen, fragments, width), "segments")
-    postings = materialize(
-        segs.where(F.col("frag") == PREFIX).select(F.explode("tokens").alias("token"), "cid", "n", "common"), "postings"
-    )
-    roots = linked(postings, segs.where(F.col("frag") != PREFIX))
-    classes = info.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("class_id"))
+    postings = segs.where(F.col("frag") == PREFIX).select(F.explode("tokens").alias("token"), "cid", "n", "common")
+    return info, linked(materialize(postings, "postings"), segs.where(F.col("frag") != PREFIX))
+
+
+def rooted(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Add the root of each set: that of its component, or its own key."""
     if roots is None:
-        classes = classes.withColumn("component_id", F.col("class_id"))
-    else:
-        classes = classes.join(roots.withColumnRenamed("v", "cid"), "cid", "left")
-        classes = classes.withColumn("root", F.coalesce("root", "cid"))
-        lowest = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
-        classes = classes.join(lowest, "root").drop("root")
-    return info.join(classes, "cid", "left").select(
+        return sets.withColumn("root", F.col("cid"))
+    return sets.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+
+def jaccard_components(documents: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id (smallest id of an equal set) of every document.
+
+    Sets link at a Jaccard similarity of 75 / 100, compared in whole numbers.
+    """
+    info, roots = classed(documents, width)
+    classes = rooted(info.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("class_id")), roots)
+    lowest = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    return info.join(classes.join(lowest, "root").drop("root"), "cid", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
     )
+
+
+def representatives(documents: DataFrame, width: int = 5) -> DataFrame:
+    """The documents without all but one of each component: the row of the smallest id stays. Empty sets all stay."""
+    info, roots = classed(documents, width)
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")
+    sets = rooted(info.where("cid is not null").groupBy("cid").agg(F.min(order).alias("first")), roots)
+    kept = sets.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    empty = info.where("cid is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("_all"))
+    kept = kept.withColumn("_all", F.lit(False)).unionByName(empty).distinct()
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_doc"))
+    rows = rows.withColumn("_text_hash", F.xxhash64("_doc.text"))
+    rows = rows.join(kept, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    # repeated rows of one id and text: only the empty ones stay as often as they come
+    once = rows.where("not _all").dropDuplicates(["_id", "_hash"])
+    return once.unionByName(rows.where("_all")).select(*[F.col(f"_doc.`{c}`").alias(c) for c in documents.columns])

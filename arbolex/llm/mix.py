@@ -123,7 +123,8 @@ def laid_out(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mixed(
-    documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block: int = BLOCK, seed: str = "mix"
+    documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block: int = BLOCK, seed: str = "mix",
+    with_source: bool = False,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document; the mix has as many words as all documents."""
     sizes = documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
@@ -157,5 +158,6 @@ def mixed(
     )
     with_target = same_source(sizes, F.broadcast(targets) if targets.count() <= 10_000 else targets)
     return with_target.join(got, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-    )
+        "doc_id", *(["source"] if with_source else []), "size", "source_size", "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+    )

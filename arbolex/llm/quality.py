@@ -152,9 +152,13 @@ def calibrate(forest: Forest, rows: np.ndarray, good: np.ndarray, lost: float =
     Among the cuts that lose no more good rows than that, the one with the best balanced accuracy; halfway to the
     next score, so that equal rows fall on one side. Without both classes nothing is rejected.
     """
-    if not len(rows) or good.all() or not good.any():
+    return calibrate_scores(forest.scores(rows), good, lost) if len(rows) else 1.0
+
+
+def calibrate_scores(scores: np.ndarray, good: np.ndarray, lost: float = 0.005) -> float:
+    """The threshold of ``calibrate`` for given scores of badness."""
+    if good.all() or not good.any():
         return 1.0
-    scores = forest.scores(rows)
     cuts = np.unique(scores)
     bad_above = 1 - np.searchsorted(np.sort(scores[~good]), cuts, side="right") / (~good).sum()
     good_above = 1 - np.searchsorted(np.sort(scores[good]), cuts, side="right") / good.sum()

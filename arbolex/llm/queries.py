@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolex.llm.bpe import encode_documents
+from arbolex.llm.cotrain import classify
 from arbolex.llm.jaccard import jaccard_components
 from arbolex.llm.langid import identify
+from arbolex.llm.licenses import license_scan
 from arbolex.llm.mix import mixed
+from arbolex.llm.pii import find_personal_data
 from arbolex.llm.quality import quality_rules
-from arbolex.llm.sql import MIX, TOP_K, WARC
+from arbolex.llm.sql import LICENSES, MIX, TOP_K, WARC
 from arbolex.llm.vafile import top_k
 from arbolex.llm.warczip import warc_round_trip
 
@@ -25,10 +28,18 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(table(spark, folder, "documents"))
+
+
 def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -49,9 +60,15 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents"))
 
 
+def op10_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (
-        op1_quality_rules, op3_ngram_jaccard_join, op5_exact_top_k, op6_warc, op7_byte_bpe, op8_source_mix, op9_language_id,
-    )
-}
-ORACLES: dict[str, str] = {"op5_exact_top_k": TOP_K, "op6_warc": WARC, "op8_source_mix": MIX}
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_license_scan, op3_ngram_jaccard_join, op4_personal_data, op5_exact_top_k, op6_warc,
+        op7_byte_bpe, op8_source_mix, op9_language_id, op10_cotraining,
+    )
+}
+ORACLES: dict[str, str] = {"op2_license_scan": LICENSES, "op5_exact_top_k": TOP_K, "op6_warc": WARC, "op8_source_mix": MIX}

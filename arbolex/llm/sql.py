@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from arbolex.llm.licenses import TEMPLATES, THRESHOLD, bigrams_of, size_bounds
+
 MIX = """
 WITH sizes AS (
   SELECT doc_id, source, row_number() OVER () AS rw,
@@ -60,3 +62,44 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
        CASE WHEN first_id IS NOT DISTINCT FROM page_id THEN NULL ELSE first_id END AS refers_to
 FROM payloads p LEFT JOIN shared s ON p.digest = s.digest AND n >= 1000
 """
+
+
+def _templates() -> str:
+    rows = []
+    for name, text in sorted(TEMPLATES.items()):
+        grams = bigrams_of(text)
+        low, high = size_bounds(len(grams))
+        rows.append(f"('{name}', {grams!r}, {low}, {high})")
+    return ", ".join(rows)
+
+
+LICENSES = f"""
+WITH templates(name, grams, low, high) AS (VALUES {_templates()}),
+units AS (
+  SELECT row_number() OVER () AS rw, doc_id, list_distinct(list_concat([coalesce(text, '')],
+           regexp_split_to_array(coalesce(text, ''), '\n[\x20\t\r]*\n'), string_split(coalesce(text, ''), chr(10)))) AS u
+  FROM documents
+), split AS (
+  SELECT rw, unnest(u) AS unit FROM units
+), worded AS (
+  SELECT rw, string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^a-z0-9]+', ' ', 'g')), ' ') AS w
+  FROM split
+), grams AS (
+  SELECT row_number() OVER () AS unit, rw,
+         list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g
+  FROM worded WHERE len(w) > 1
+), scored AS (
+  SELECT unit, rw, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+  FROM grams g JOIN templates t ON len(g.g) BETWEEN t.low AND t.high
+), best AS (
+  SELECT rw, unit, dice, name FROM scored WHERE dice >= {THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY unit ORDER BY dice DESC, name) = 1
+), found AS (
+  SELECT rw, count(*) AS n, max(dice) AS dice, first(name ORDER BY dice DESC, name) AS best,
+         array_to_string(list_sort(list_distinct(list(name))), ',') AS licenses
+  FROM best GROUP BY rw
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, best, dice, coalesce(licenses, '') AS licenses
+FROM units LEFT JOIN found USING (rw)
+"""
