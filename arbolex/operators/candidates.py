@@ -52,23 +52,25 @@ def gold_candidate(candidates: DataFrame, by: str = "sent_id") -> DataFrame:
 
 
 def beam_loss(candidates: DataFrame, k: int, by: str = "sent_id") -> DataFrame:
-    """Loss of a beam step: log-sum-exp over the beam and the gold candidate, minus the gold score.
+    """``early_stop`` and loss of a beam step: log-sum-exp over the beam minus the gold score.
 
-    ``early_stop`` marks sentences whose gold candidate is not in the beam.
+    Gold is the best member of the beam that has cost nothing so far. Where there is none the step stops early: gold
+    is the first free move of the first free parent, and it joins the beam in the sum. A step that neither stops early
+    nor ends the sentence (``is_final``; where that column is absent, every step does) has loss 0. Sentences without
+    any free candidate have no row.
     """
-    beam = top_k(candidates, k, by).select(by, "parent", "move", "score")
-    gold = gold_candidate(candidates, by)
-    # the gold row comes back as a member of the beam or joins it; k + 1 rows per sentence at most
-    members = beam.withColumn("in_beam", F.lit(1)).withColumn("is_gold", F.lit(0)).unionByName(
-        gold.withColumn("in_beam", F.lit(0)).withColumn("is_gold", F.lit(1))
-    )
-    pooled = members.groupBy(by, "parent", "move").agg(
-        F.max("score").alias("score"), F.max("in_beam").alias("in_beam"), F.max("is_gold").alias("is_gold")
-    )
-    total = logsumexp(pooled, [by])
-    goldrow = pooled.where(F.col("is_gold") == 1).select(
-        by, F.col("score").alias("gold_score"), (F.col("in_beam") == 0).alias("early_stop")
-    )
-    return goldrow.join(total, by).select(
-        by, "early_stop", (F.col("logsumexp") - F.col("gold_score")).alias("loss")
+    beam = top_k(candidates if "is_final" in candidates.columns else candidates.withColumn("is_final", F.lit(True)), k, by)
+    free = F.col("parent_cost") + F.col("move_cost") == 0
+    held = beam.groupBy(by).agg(
+        F.min(F.when(free, F.struct("slot", "score"))).alias("held"), F.max("is_final").alias("is_final")
     )
+    fallen = gold_candidate(candidates, by).select(by, F.col("score").alias("fallen_score"))
+    gold = (
+        held.join(fallen, by, "left")
+        .select(by, "is_final", F.col("held").isNull().alias("early_stop"),
+                F.coalesce("held.score", "fallen_score").alias("gold_score"))
+        .where(F.col("gold_score").isNotNull())
+    )
+    pool = beam.select(by, "score").unionByName(gold.where("early_stop").select(by, F.col("gold_score").alias("score")))
+    loss = F.when(F.col("early_stop") | F.col("is_final"), F.col("logsumexp") - F.col("gold_score")).otherwise(F.lit(0.0))
+    return gold.join(logsumexp(pool, [by]), by).select(by, "early_stop", loss.alias("loss"))

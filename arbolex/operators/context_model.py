@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbolex.functions import text as tx
-from arbolex.operators.joins import hot_join, hottest
-from arbolex.operators.vocabulary import tokens
+from arbolex.operators.joins import hot_join, hottest, if_small
 from arbolex.session import materialize
 
 # Weights of the two-sided, left, right and unigram terms, and the smoothing constant.
@@ -19,16 +18,22 @@ W_BOTH, W_LEFT, W_RIGHT, W_WORD, ALPHA = 0.5, 0.15, 0.15, 0.2, 0.1
 def contexts(sents: DataFrame, vocab: DataFrame) -> DataFrame:
     """Each token as ids with both neighbours: ``sent_id, tok_id, l, w, r`` plus sentence columns.
 
-    ``vocab`` is a bounded top-N vocabulary; any other word becomes the unknown word first.
+    ``vocab`` is a top-N vocabulary; any other word becomes the unknown word. The neighbours are taken from the
+    sentence's array before it is exploded, so no token is shuffled to meet its neighbours.
     """
-    known = F.broadcast(vocab.select("word", F.col("id").alias("known_id")))
-    ids = tokens(sents).join(known, "word", "left").withColumn("w", F.coalesce("known_id", F.lit(tx.UNK_ID)))
-    order = Window.partitionBy("sent_id").orderBy("tok_id")
-    return (
-        ids.withColumn("l", F.lag("w", 1, tx.SOS_ID).over(order))
-        .withColumn("r", F.lead("w", 1, tx.EOS_ID).over(order))
-        .drop("word", "known_id")
+    keep = [c for c in sents.columns if c not in ("words", "n")]
+    beside = lambda at, mark: F.coalesce(F.get("words", at), F.lit(mark))
+    near = F.transform(
+        "words",
+        lambda w, i: F.struct(beside(i - 1, tx.SOS).alias("l"), w.alias("w"), beside(i + 1, tx.EOS).alias("r")),
     )
+    rows = sents.select(*keep, F.posexplode_outer(near).alias("pos", "near")).where(F.col("pos").isNotNull())
+    rows = rows.select(*keep, (F.col("pos") + 1).alias("tok_id"), "near.l", "near.w", "near.r")
+    known = if_small(vocab.select(F.col("word").alias("_word"), F.col("id").alias("_id")))
+    for side in ("l", "w", "r"):
+        rows = rows.join(known, F.col(side) == F.col("_word"), "left")
+        rows = rows.withColumn(side, F.coalesce("_id", F.lit(tx.UNK_ID))).drop("_word", "_id")
+    return rows
 
 
 def trigram_counts(ctx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -67,7 +72,7 @@ def trigram_logprob(target: DataFrame, train: DataFrame, vocab_size: int, by: Se
     for kept in ("lr", "lw", "wr"):
         out = out.join(level(kept, f"c_{kept}"), [*by, *kept], "left")
     for kept in ("l", "r", "w"):
-        out = out.join(F.broadcast(level(kept, f"c_{kept}")), [*by, kept], "left")
+        out = out.join(if_small(level(kept, f"c_{kept}")), [*by, kept], "left")
     total = train.groupBy(*by).agg(F.sum("n").alias("c_all"))
     if by:
         out = out.join(F.broadcast(total), by, "left")

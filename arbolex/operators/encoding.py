@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbolex.functions import text as tx
-from arbolex.operators.joins import HOT_KEYS, hot_join, hottest
+from arbolex.operators.joins import HOT_KEYS, hot_join, hottest, if_small
 from arbolex.operators.numbering import number_rows
 from arbolex.operators.vocabulary import tokens
 
@@ -25,8 +25,8 @@ def frequent(vocab: DataFrame) -> DataFrame:
 
 
 def encode_tokens(sents: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``sent_id, n, n_unk, ids``; ``vocab`` is a bounded top-N vocabulary."""
-    known = F.broadcast(vocab.select("word", "id"))
+    """``sent_id, n, n_unk, ids``; a small ``vocab`` is broadcast."""
+    known = if_small(vocab.select("word", "id"))
     ids = tokens(sents.select("sent_id", "words", "n")).join(known, "word", "left")
     return ids.groupBy("sent_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -44,7 +44,7 @@ def encode_dual(sents: DataFrame, out_vocab: DataFrame, in_vocab: DataFrame) ->
     words = tokens(sents.select("sent_id", "words", "n"))
     inner = in_vocab.select("word", F.col("id").alias("in_id"))
     paired = hot_join(words, inner, ["word"], frequent(in_vocab).select("word"))
-    paired = paired.join(F.broadcast(out_vocab.select("word", F.col("id").alias("out_id"))), "word", "left")
+    paired = paired.join(if_small(out_vocab.select("word", F.col("id").alias("out_id"))), "word", "left")
     filled = paired.select(
         "sent_id",
         "tok_id",
@@ -68,7 +68,7 @@ def decode_ids(encoded: DataFrame, out_vocab: DataFrame, in_vocab: DataFrame) ->
     outer = out_vocab.select(F.col("id").alias("out_id"), F.col("word").alias("out_word"))
     inner = in_vocab.select(F.col("id").alias("in_id"), F.col("word").alias("in_word"))
     hot = frequent(in_vocab).select(F.col("id").alias("in_id"))
-    named = hot_join(pairs.join(F.broadcast(outer), "out_id"), inner, ["in_id"], hot, how="inner")
+    named = hot_join(pairs.join(if_small(outer), "out_id"), inner, ["in_id"], hot, how="inner")
     return named.groupBy("sent_id").agg(
         in_order("out_word").alias("out_words"), in_order("in_word").alias("in_words")
     )
@@ -82,10 +82,10 @@ def first_seen_words(tokens_df: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("sent_id", "tok_id")).alias("first"), F.count(F.lit(1)).alias("n"))
     )
     ids = number_rows(firsts, ["first"], name="id")
-    ids = ids.select("word", (F.col("id") + 2).cast("int").alias("id"), "n")
+    ids = ids.select("word", (F.col("id") + 2).alias("id"), "n")
     marks = tokens_df.where(F.col("word").isin(tx.SOS, tx.EOS)).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
     fixed = tokens_df.sparkSession.createDataFrame(
-        [(tx.SOS, tx.SOS_ID), (tx.EOS, tx.EOS_ID)], "word string, id int"
+        [(tx.SOS, tx.SOS_ID), (tx.EOS, tx.EOS_ID)], "word string, id long"
     ).join(F.broadcast(marks), "word", "left")
     return ids.unionByName(fixed.select("word", "id", F.coalesce("c", F.lit(0)).alias("n")))
 
@@ -97,7 +97,7 @@ def char_ids(words: DataFrame, chars: DataFrame, unknown: int = tx.PAD_ID, limit
     """
     word = F.col("word") if limit is None else tx.cut(F.col("word"), limit)
     spelled = words.select("id", "word", F.posexplode(tx.split_chars(word)).alias("at", "ch"))
-    found = spelled.join(F.broadcast(chars.withColumnRenamed("id", "ch_id")), "ch", "left")
+    found = spelled.join(if_small(chars.withColumnRenamed("id", "ch_id")), "ch", "left")
     return found.groupBy("id", "word").agg(
         F.transform(in_order("ch_id", by="at"), lambda c: F.coalesce(c, F.lit(unknown))).alias("char_ids")
     )

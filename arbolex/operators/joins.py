@@ -12,6 +12,17 @@ from arbolex.session import materialize
 # At most this many hot keys are broadcast; any other key holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 10_000
 
+# A table is broadcast only if it was counted to have no more rows than this.
+SMALL_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is for a shuffle join.
+
+    The check reads ``df``: hand over a written table where that is dear.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
 
 def hottest(counts: DataFrame, keys: Sequence[str], n: str = "n", limit: int = HOT_KEYS) -> DataFrame:
     """The ``limit`` most frequent keys, an upper bound on what a broadcast may hold.

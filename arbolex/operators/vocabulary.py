@@ -9,10 +9,6 @@ from arbolex.functions import text as tx
 from arbolex.operators.numbering import number_rows, number_small
 
 TOP_N = 1000
-# Above this size a "top N" is numbered by the distributed sort instead of in one task.
-SMALL_TOP = 100_000
-# First lines of the word list that feed the character vocabulary.
-CHAR_LINES = 40_000
 
 
 def sentences(lines: DataFrame) -> DataFrame:
@@ -43,23 +39,24 @@ def sorted_counts(counts: DataFrame) -> DataFrame:
 
 
 def top_n(counts: DataFrame, size: int = TOP_N) -> DataFrame:
-    """``word, n, rank`` of the most frequent words, ties by word."""
-    order = [F.col("n").desc(), F.col("word")]
-    if size > SMALL_TOP:
-        return number_rows(counts, order, name="rank").where(F.col("rank") <= size)
-    return number_small(counts.orderBy(*order).limit(size), order, "rank")
+    """``word, n, rank`` of the most frequent words, ties by word; numbered by a distributed sort for every size."""
+    return number_rows(counts, [F.col("n").desc(), F.col("word")], name="rank").where(F.col("rank") <= size)
 
 
 def top_vocab(counts: DataFrame, size: int = TOP_N) -> DataFrame:
-    """``word, id`` of the top-N vocabulary behind the three reserved words."""
-    words = top_n(counts.where(~F.col("word").isin(tx.SOS, tx.EOS, tx.UNK)), size)
-    ids = words.select("word", (F.col("rank") + tx.N_RESERVED).cast("int").alias("id"))
+    """``word, id`` of the top-N vocabulary behind the three reserved words.
+
+    Words are cut at 65 characters before they are ranked, so words that share their cut form are one entry.
+    """
+    merged = counts.groupBy(tx.cut(F.col("word"), tx.VOCAB_WORD_LIMIT).alias("word")).agg(F.sum("n").alias("n"))
+    words = top_n(merged.where(~F.col("word").isin(tx.SOS, tx.EOS, tx.UNK)), size)
+    ids = words.select("word", (F.col("rank") + tx.N_RESERVED).alias("id"))
     return ids.unionByName(reserved_words(counts.sparkSession))
 
 
 def reserved_words(spark) -> DataFrame:
     rows = [(tx.SOS, tx.SOS_ID), (tx.EOS, tx.EOS_ID), (tx.UNK, tx.UNK_ID)]
-    return spark.createDataFrame(rows, "word string, id int")
+    return spark.createDataFrame(rows, "word string, id long")
 
 
 def vocab_ids(words: DataFrame, order: str = "pos") -> DataFrame:
@@ -75,7 +72,7 @@ def vocab_ids(words: DataFrame, order: str = "pos") -> DataFrame:
         .where(~F.col("word").isin(tx.SOS, tx.EOS, tx.UNK))
     )
     ids = number_rows(firsts, ["_seen", "word"], name="id")
-    return ids.select("word", (F.col("id") + tx.N_RESERVED).cast("int").alias("id")).unionByName(
+    return ids.select("word", (F.col("id") + tx.N_RESERVED).alias("id")).unionByName(
         reserved_words(words.sparkSession)
     )
 
@@ -137,8 +134,8 @@ def reserved_char_report(counts: DataFrame) -> DataFrame:
     )
 
 
-def char_vocab(words: DataFrame, limit: int | None = CHAR_LINES) -> DataFrame:
-    """``ch, id``: characters in first-seen order over the first ``limit`` lines of a word list.
+def char_vocab(words: DataFrame, limit: int | None = None) -> DataFrame:
+    """``ch, id``: characters in first-seen order over a word list, or over its first ``limit`` lines.
 
     ``words`` has ``pos, word``. The space is skipped; ids follow the three reserved characters.
     """
@@ -165,8 +162,8 @@ def max_lengths(sents: DataFrame) -> DataFrame:
 
 
 def unknown_rate(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Unknown and total tokens from word counts; ``vocab`` is a bounded top-N vocabulary."""
-    marked = counts.join(F.broadcast(vocab.select("word", F.lit(True).alias("known"))), "word", "left")
+    """Unknown and total tokens from word counts; both sides have a row per word, so no key is hot."""
+    marked = counts.join(vocab.select("word", F.lit(True).alias("known")), "word", "left")
     unknown = F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0))
     return marked.agg(
         unknown.cast("bigint").alias("unknown"),
@@ -176,8 +173,8 @@ def unknown_rate(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def oov_words(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Counted words outside a bounded vocabulary."""
-    return counts.join(F.broadcast(vocab.select("word")), "word", "left_anti")
+    """Counted words outside a vocabulary."""
+    return counts.join(vocab.select("word"), "word", "left_anti")
 
 
 def length_filter(sents: DataFrame, upper: int = 28, min_words: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ _LABELS = "[" + ", ".join(f"'{t}'" for t in DEPREL) + "]"
 # Named parts, each with the parts it builds on.
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "lines": (
-        r"""SELECT doc_id, lang, source, line_no, doc_id * 100000 + line_no AS sent_id, line FROM (
+        r"""SELECT doc_id, lang, source, line_no, doc_id * 2147483648 + line_no AS sent_id, line FROM (
             SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line,
                    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)""",
         (),
@@ -36,7 +36,8 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "ranked": ("SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM counts", ("counts",)),
     "reserved": ("SELECT * FROM (VALUES ('<s>', 1), ('</s>', 2), ('<unk>', 3)) t(word, id)", ()),
     "topv": (
-        """SELECT word, id FROM (SELECT word, 3 + row_number() OVER (ORDER BY n DESC, word) AS id FROM counts
+        """SELECT word, id FROM (SELECT word, 3 + row_number() OVER (ORDER BY n DESC, word) AS id FROM (
+             SELECT substring(word, 1, 65) AS word, sum(n) AS n FROM counts GROUP BY ALL)
            WHERE word NOT IN (SELECT word FROM reserved)) WHERE id <= 1003
            UNION ALL SELECT word, id FROM reserved""",
         ("counts", "reserved"),
@@ -50,6 +51,15 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         ("counts", "reserved"),
     ),
     "chars": (
+        """SELECT ch, 3 + row_number() OVER (ORDER BY rank, pos) AS id FROM (
+             SELECT ch, min({'rank': rank, 'pos': pos}).rank AS rank, min({'rank': rank, 'pos': pos}).pos AS pos
+             FROM (SELECT rank, unnest(string_split(word, '')) AS ch, unnest(range(1, length(word) + 1)) AS pos
+                   FROM ranked)
+             WHERE ch NOT IN (' ', chr(17), chr(18), chr(19)) GROUP BY ch)
+           UNION ALL SELECT chr(17), 1 UNION ALL SELECT chr(18), 2 UNION ALL SELECT chr(19), 3""",
+        ("ranked",),
+    ),
+    "head_chars": (
         """SELECT ch, 3 + row_number() OVER (ORDER BY rank, pos) AS id FROM (
              SELECT ch, min({'rank': rank, 'pos': pos}).rank AS rank, min({'rank': rank, 'pos': pos}).pos AS pos
              FROM (SELECT rank, unnest(string_split(word, '')) AS ch, unnest(range(1, length(word) + 1)) AS pos
@@ -71,7 +81,7 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         ("sents",),
     ),
     "tb": (
-        """SELECT doc_id * 100000 + row_number() OVER (PARTITION BY doc_id ORDER BY line_no, c) AS sent_id,
+        """SELECT doc_id * 2147483648 + row_number() OVER (PARTITION BY doc_id ORDER BY line_no, c) AS sent_id,
                   doc_id, lang, source, words[c * 26 + 1 : c * 26 + 26] AS forms,
                   len(words[c * 26 + 1 : c * 26 + 26]) AS n FROM chunks""",
         ("chunks",),
@@ -160,7 +170,7 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     # events as candidates and series
     "cand": (
         """SELECT user_id AS sent_id, CAST(event_id % 4 AS INT) AS parent, event_id AS move, value / 10 AS score,
-             (user_id + event_id) % 2 AS parent_cost, event_id % 3 AS move_cost FROM events""",
+             (user_id + event_id) % 2 AS parent_cost, event_id % 3 AS move_cost, user_id % 2 = 0 AS is_final FROM events""",
         (),
     ),
     "cand_top": (
@@ -282,7 +292,7 @@ sql(
                len % 17 <> 0 AND len % 13 <> 0 AND head > 0 AND (len % 19 = 0 OR label = 'root') AS m FROM rendered)""",
     "rendered",
 )
-sql("char_vocab", "SELECT ch, id FROM chars", "chars")
+sql("char_vocab", "SELECT ch, id FROM head_chars", "head_chars")
 
 # ---- joins
 
@@ -489,9 +499,13 @@ sql("beam_topk", "SELECT sent_id, slot, parent, move, score FROM cand_top", "can
 sql("beam_gold", "SELECT sent_id, parent, move, score FROM cand_gold", "cand_gold")
 sql(
     "beam_loss",
-    """SELECT g.sent_id, count(t.move) FILTER (t.move = g.move) = 0 AS early_stop,
-         round(ln(sum(exp(t.score - g.score)) + CASE WHEN count(*) FILTER (t.move = g.move) = 0 THEN 1 ELSE 0 END), 6) AS loss
-       FROM cand_gold g JOIN cand_top t USING (sent_id) GROUP BY g.sent_id, g.move, g.score""",
+    """SELECT sent_id, held IS NULL AS early_stop, round(CASE
+           WHEN held IS NULL THEN ln(list_sum(list_transform(scores, lambda s: exp(s - gold))) + 1)
+           WHEN is_final THEN ln(list_sum(list_transform(scores, lambda s: exp(s - gold)))) ELSE 0 END, 6) AS loss
+       FROM (SELECT b.*, coalesce(b.held, g.score) AS gold FROM (
+               SELECT sent_id, list(score) AS scores, bool_or(is_final) AS is_final,
+                      arg_min(score, slot) FILTER (parent_cost + move_cost = 0) AS held FROM cand_top GROUP BY sent_id) b
+             LEFT JOIN cand_gold g USING (sent_id)) WHERE gold IS NOT NULL""",
     "cand_gold",
     "cand_top",
 )

@@ -177,7 +177,7 @@ def treebank_quality(spark, d):
 
 @query
 def char_vocab(spark, d):
-    return vo.char_vocab(vo.ranked_words(vw.word_counts(spark, d)))
+    return vo.char_vocab(vo.ranked_words(vw.word_counts(spark, d)), limit=40_000)
 
 
 # ---- joins

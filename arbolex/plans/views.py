@@ -157,6 +157,7 @@ def beam_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") / 10).alias("score"),
         ((F.col("user_id") + F.col("event_id")) % 2).cast("int").alias("parent_cost"),
         (F.col("event_id") % 3).cast("int").alias("move_cost"),
+        (F.col("user_id") % 2 == 0).alias("is_final"),
     )
 
 

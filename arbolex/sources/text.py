@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from arbolex.functions.text import split_words
 
-# sent_id = document id * LINE_STRIDE + position of the sentence in the document, from 1.
-LINE_STRIDE = 100_000
+# sent_id = document id * LINE_STRIDE + position of the sentence in the document, from 1. A text has less than 2^31
+# characters, so its sentences cannot run out of positions.
+LINE_STRIDE = 1 << 31
 
 
 def sentence_id(doc_id, position):
-    """Id of the n-th sentence of a document; too long documents fail instead of colliding."""
-    return F.when(position < LINE_STRIDE, doc_id * LINE_STRIDE + position).otherwise(
-        F.raise_error(F.lit("document has too many sentences for sentence_id"))
-    )
+    """Id of the n-th sentence of a document."""
+    return doc_id * LINE_STRIDE + position
 
 
 def text_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:

@@ -152,13 +152,24 @@ def test_beam_arithmetic_against_plain_python(spark):
         s: (r[1], r[2]) for s, r in gold_rows.items()
     }
     losses = {r.sent_id: (r.early_stop, r.loss) for r in ca.beam_loss(df, 3).collect()}
-    assert set(losses) == set(gold_rows)
-    for s, g in gold_rows.items():
-        pool = {(r[1], r[2]): r[3] for r in [*top[s], g]}
-        peak = max(pool.values())
-        want = peak + math.log(sum(math.exp(x - peak) for x in pool.values())) - g[3]
-        assert losses[s][0] == (g not in top[s]) and math.isclose(losses[s][1], want, abs_tol=1e-9)
+    free = {s: next((r for r in mine if r[4] + r[5] == 0), None) for s, mine in top.items()}
+    assert set(losses) == {s for s in top if free[s] or s in gold_rows}
+    for s, (early, loss) in losses.items():
+        g = free[s] or gold_rows[s]
+        pool = [r[3] for r in top[s]] + ([] if free[s] else [g[3]])
+        want = max(pool) + math.log(sum(math.exp(x - max(pool)) for x in pool)) - g[3]
+        assert early == (free[s] is None) and math.isclose(loss, want, abs_tol=1e-9)
     sums = {r.sent_id: r.logsumexp for r in ca.logsumexp(df, ["sent_id"]).collect()}
     for s in top:
         mine = [r[3] for r in rows if r[0] == s]
         assert math.isclose(sums[s], max(mine) + math.log(sum(math.exp(x - max(mine)) for x in mine)), abs_tol=1e-9)
+
+
+def test_gold_is_the_best_free_member_of_the_beam(spark):
+    rows = [(1, 1, 1, 0.0, 0, 0), (1, 1, 2, 9.0, 0, 0), (1, 1, 3, 8.0, 0, 1)]
+    names = "sent_id long, parent int, move long, score double, parent_cost int, move_cost int"
+    df = spark.createDataFrame(rows, names)
+    (r,) = ca.beam_loss(df, 2).collect()
+    assert not r.early_stop and math.isclose(r.loss, math.log(1 + math.exp(-1)), abs_tol=1e-9)
+    (r,) = ca.beam_loss(df.withColumn("is_final", F.lit(False)), 2).collect()
+    assert not r.early_stop and r.loss == 0

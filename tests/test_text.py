@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from arbolex.functions import text as tx
 from arbolex.operators import vocabulary as vo
+from arbolex.operators.joins import if_small
 from arbolex.sources import text as sx
 
 
@@ -77,10 +78,29 @@ def test_top_n_and_coverage(spark):
     assert {r.word for r in vo.oov_words(counts, vocab).collect()} == {"a", "b"}
 
 
-def test_large_top_n_uses_the_distributed_numbering(spark, monkeypatch):
-    monkeypatch.setattr(vo, "SMALL_TOP", 1)
+def test_top_n_has_one_type_for_every_size(spark):
     counts = spark.createDataFrame([("b", 2), ("a", 2), ("c", 6)], "word string, n long")
     assert {(r.word, r["rank"]) for r in vo.top_n(counts, 2).collect()} == {("c", 1), ("a", 2)}
+    assert vo.top_n(counts, 2).dtypes == vo.top_n(counts, 10**9).dtypes
+
+
+def test_top_vocab_cuts_long_words_first(spark):
+    counts = spark.createDataFrame([("x" * 65 + "a", 2), ("x" * 65 + "b", 2), ("c", 3)], "word string, n long")
+    assert {(r.word, r.id) for r in vo.top_vocab(counts, 1).collect() if r.id > 3} == {("x" * 65, 4)}
+
+
+def test_long_documents_and_late_characters(spark):
+    text = "\n".join(["a"] * 100_001 + ["z"])
+    lines = sx.text_lines(spark.createDataFrame([(7, text)], "doc_id long, text string"))
+    assert lines.agg({"sent_id": "max"}).first()[0] == 7 * sx.LINE_STRIDE + 100_002
+    words = spark.range(40_002).selectExpr("id AS pos", "CASE WHEN id = 40001 THEN 'ω' ELSE 'a' END AS word")
+    assert {r.ch: r.id for r in vo.char_vocab(words).collect()}["ω"] == 5
+
+
+def test_broadcasts_follow_a_counted_size(spark):
+    big, small = spark.range(50).toDF("id"), spark.range(5).toDF("id")
+    assert "broadcast" in if_small(small, 10)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in if_small(big, 10)._jdf.queryExecution().logical().toString().lower()
 
 
 def test_length_filters(spark):
