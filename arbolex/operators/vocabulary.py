@@ -205,20 +205,36 @@ def corpus_stats(sents: DataFrame, shortest: int = 2, longest: int = 64) -> Data
 def context_windows(sents: DataFrame) -> DataFrame:
     """Each word with both neighbours and the size of its two-sided context.
 
-    One sort per sentence: the right frame is the sentence total minus what lies up to the word.
+    Everything comes from the sentence's array: the words joined by a space give the characters up to a word in one
+    pass, so no token is shuffled.
     """
-    order = Window.partitionBy("sent_id").orderBy("tok_id")
-    whole = Window.partitionBy("sent_id")
-    chars = F.length("word").cast("bigint")
-    left_chars = F.coalesce(F.sum(chars).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return tokens(sents.select("sent_id", "words", "n")).select(
+    # running number of characters before each word
+    step = lambda done, w: F.concat(done, F.array(F.element_at(done, -1) + F.length(w)))
+    before = F.aggregate("words", F.array(F.lit(0)), step)
+    rows = sents.select("sent_id", "words", "n", before.alias("before")).select(
         "sent_id",
-        "tok_id",
-        "word",
-        F.lag("word", 1, tx.SOS).over(order).alias("left_word"),
-        F.lead("word", 1, tx.EOS).over(order).alias("right_word"),
-        (F.col("tok_id") - 1).alias("n_left"),
-        (F.count(F.lit(1)).over(whole) - F.col("tok_id")).alias("n_right"),
-        left_chars.alias("left_chars"),
-        (F.sum(chars).over(whole) - left_chars - chars).alias("right_chars"),
+        "n",
+        F.element_at("before", -1).alias("total"),
+        F.posexplode(
+            F.transform(
+                "words",
+                lambda w, i: F.struct(
+                    w.alias("word"),
+                    F.coalesce(F.get("words", i - 1), F.lit(tx.SOS)).alias("left_word"),
+                    F.coalesce(F.get("words", i + 1), F.lit(tx.EOS)).alias("right_word"),
+                    F.get("before", i).alias("left_chars"),
+                ),
+            )
+        ).alias("pos", "w"),
+    )
+    return rows.select(
+        "sent_id",
+        (F.col("pos") + 1).alias("tok_id"),
+        "w.word",
+        "w.left_word",
+        "w.right_word",
+        F.col("pos").alias("n_left"),
+        (F.col("n") - F.col("pos") - 1).cast("bigint").alias("n_right"),
+        F.col("w.left_chars").cast("bigint").alias("left_chars"),
+        (F.col("total") - F.col("w.left_chars") - F.length("w.word")).cast("bigint").alias("right_chars"),
     )
