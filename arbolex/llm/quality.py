@@ -28,7 +28,7 @@ SHARES = (
     "digit_share",
 )
 
-#: a share counts above this quantile of the labelled good documents
+#: a share counts above this quantile of the labelled good documents (of few: above their maximum)
 GOOD_SHARE = 0.9995
 
 IS_SYMBOL = byte_set(SYMBOLS)
@@ -237,7 +237,7 @@ def fit_forest(
     )
     held = np.array([r.shares for r in taught], float).reshape(-1, len(SHARES))
     good = np.array([r.quality == 1 for r in taught], bool)
-    forest = grow_forest(seen, np.quantile(held[good], GOOD_SHARE, axis=0) if good.any() else None)
+    forest = grow_forest(seen, np.quantile(held[good], GOOD_SHARE, axis=0, method="higher") if good.any() else None)
     forest.threshold = calibrate(forest, held, good)
     return forest
 
