@@ -108,6 +108,8 @@ def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int,
 
 def by_fragment(fragment: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(fragment, its part of each column) for every fragment that occurs."""
+    if not len(fragment):
+        return
     order = np.argsort(fragment, kind="stable")
     found, first = np.unique(fragment[order], return_index=True)
     for f, lo, hi in zip(found, first, [*first[1:], len(order)], strict=True):

@@ -231,7 +231,9 @@ def test_tagger_learns_and_leaves_base_spans_in_place(spark, documents):
     tagger = pii.train(windows)
     text = "no digits here. " * 30 + "please call +1 (743) 555-0199 now" + " and more words" * 20
     (found,) = pii.tag(tagger, [text])
-    assert [(text[a:b], kind) for a, b, kind, _ in found] == [("+1 (743) 555-0199", 3)]
+    # numbers are taught with and without their plus sign, so the span may start at either
+    ((a, b, kind, _),) = found
+    assert kind == 3 and text[a:b].removeprefix("+") == "1 (743) 555-0199"
     assert pii.tag(tagger, ["", "plain words only"]) == [[], []]
     rows = pii.find_personal_data(make(spark, PRIVATE, spans="x", f=1)).collect()
     for r in rows:
