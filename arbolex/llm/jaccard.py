@@ -291,11 +291,11 @@ def similar_size(a: str, b: str):
     return (F.lit(100) * F.least(a, b)) >= (F.lit(75) * F.greatest(a, b))
 
 
-def enough(times: str, a: str, b: str):
+def enough(times, a: str, b: str):
     """Can two sets link whose prefixes share that many shingles? Past the prefix lie ``ceil(0.75 n) - 1`` of a set,
     and nothing else beyond the earlier of the two prefix ends; an overlap of 3/7 of both sizes is needed."""
     after = F.ceil(F.greatest(a, b) * 3 / 4) - 1
-    return F.col(times) + after >= F.ceil((F.col(a) + F.col(b)) * 3 / 7)
+    return times + after >= F.ceil((F.col(a) + F.col(b)) * 3 / 7)
 
 
 def linked(postings: DataFrame, segs: DataFrame) -> DataFrame | None:
@@ -320,7 +320,7 @@ def linked(postings: DataFrame, segs: DataFrame) -> DataFrame | None:
                 .where((F.col("comp") != F.col("other")) & similar_size("n", "nb"))
                 .groupBy(F.col("cid").alias("a"), F.col("n").alias("na"), "b", "nb")
                 .agg(F.count(F.lit(1)).alias("times"))
-                .where(enough("times", "na", "nb"))
+                .where(enough(F.col("times"), "na", "nb"))
                 .groupBy("a", "na")
                 .agg(F.max(F.struct("times", "b", "nb")).alias("best"))
                 .select("a", "na", "best.b", "best.nb")
@@ -330,17 +330,23 @@ def linked(postings: DataFrame, segs: DataFrame) -> DataFrame | None:
             mains = parts.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("m"), F.count(F.lit(1)).alias("parts"))
             mains = mains.where("parts > 1").select("token", F.col("m.comp").alias("main"))
             mixed = held.join(mains, "token")
+            # a pair cannot share more shingles than either set has in buckets of several components
+            mixed = mixed.join(mixed.groupBy("cid").agg(F.count(F.lit(1)).alias("most")), "cid")
             outside = mixed.where("comp <> main").select(
-                "token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("own")
+                "token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("own"), F.col("most").alias("ma")
             )
-            inside = mixed.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), "comp", "main")
+            inside = mixed.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), "comp", "main", F.col("most").alias("mb"))
             apart = (F.col("own") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("b")))
             pairs = (
                 outside.join(inside, "token")
-                .where(apart & similar_size("na", "nb"))
+                .where(apart & similar_size("na", "nb") & enough(F.least("ma", "mb"), "na", "nb"))
+                # either end of a pair can be outside, by the bucket: one order, so that its buckets are counted together
+                .select(F.when(F.col("a") < F.col("b"), F.struct("a", "na", "b", "nb")).otherwise(
+                    F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb"))).alias("p"))
+                .select("p.*")
                 .groupBy("a", "na", "b", "nb")
                 .agg(F.count(F.lit(1)).alias("times"))
-                .where(enough("times", "na", "nb"))
+                .where(enough(F.col("times"), "na", "nb"))
                 .select("a", "na", "b", "nb")
             )
         found = materialize(overlaps(pairs, segs), "links")
