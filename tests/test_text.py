@@ -20,11 +20,11 @@ def test_lines_and_tokens(spark):
     docs = spark.createDataFrame([(7, "a  b\tc\n\n d\x0be ")], "doc_id long, text string")
     lines = sx.text_lines(docs)
     assert [(r.sent_id, r.line_no, r.line) for r in lines.orderBy("line_no").collect()] == [
-        (700001, 1, "a  b\tc"), (700002, 2, ""), (700003, 3, " d\x0be "),
+        (7 * sx.LINE_STRIDE + 1, 1, "a  b\tc"), (7 * sx.LINE_STRIDE + 2, 2, ""), (7 * sx.LINE_STRIDE + 3, 3, " d\x0be "),
     ]
     toks = vo.tokens(vo.sentences(lines)).orderBy("sent_id", "tok_id").collect()
     assert [(r.sent_id, r.tok_id, r.word) for r in toks] == [
-        (700001, 1, "a"), (700001, 2, "b"), (700001, 3, "c"), (700003, 1, "d"), (700003, 2, "e"),
+        (7 * sx.LINE_STRIDE + 1, 1, "a"), (7 * sx.LINE_STRIDE + 1, 2, "b"), (7 * sx.LINE_STRIDE + 1, 3, "c"), (7 * sx.LINE_STRIDE + 3, 1, "d"), (7 * sx.LINE_STRIDE + 3, 2, "e"),
     ]
 
 
