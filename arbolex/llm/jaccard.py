@@ -13,8 +13,8 @@ partial counts are summed per pair.
 3. *Join.* Sets whose prefixes share enough shingles are candidates. A candidate pair's overlap is the sum of its
    partial overlaps per fragment, an exact count. A large group of near copies has about the square of its size in
    pairs, so each round compares a set with one leader of the buckets it is in, the set with the most common shingles
-   first; what is still apart after the rounds is compared in full, all candidate pairs of different components. So
-   every set ends in its right component.
+   first; what is still apart after the rounds is compared in full, all candidate pairs of different components whose
+   sketches leave a link possible. So every set ends in its right component.
 
 Defined results. A null or empty text has an empty set and is linked with nothing. Repeated rows and texts of equal
 sets are one class, so linked. A row without id takes part; its class goes by the smallest id that is there, or null.
@@ -40,6 +40,8 @@ CHUNK, FRAGMENT_BYTES = 1 << 20, 24 << 20
 #: rounds of comparing with leaders only
 ROUNDS = 2
 MANY = np.uint32(0xFFFFFFFF)
+#: 64-bit words of a set's sketch
+SKETCH = 16
 
 
 def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +81,14 @@ def slack(n):
     return np.maximum(1, n // 10)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Bit ``i`` is the parity of the shingles that hash to it: two sketches differ in at most as many bits as the sets
+    do in shingles."""
+    bits = SKETCH * 64
+    odd = np.bincount((mix(grams) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def binary(keys: np.ndarray) -> pa.Array:
     """16-byte values from rows of two 64-bit numbers."""
     data = np.ascontiguousarray(keys)
@@ -191,12 +201,14 @@ def screened(documents: DataFrame, fragments: int, width: int) -> DataFrame:
 
 
 CHUNK_ROW = "chunk long, cids binary, sizes binary, tokens binary"
-SEGMENT_ROW = "cid binary, n long, common double, frag int, tokens array<long>"
+SEGMENT_ROW = "cid binary, n long, common double, frag int, tokens array<long>, alone long, sketch array<long>"
 PREFIX = -1
 
 
 def segments(documents: DataFrame, chosen: DataFrame, fragments: int, width: int) -> DataFrame:
-    """(cid, n, frag, tokens) of the chosen sets that share enough: segments of the frequency order, and prefixes."""
+    """(cid, n, frag, tokens) of the chosen sets that share enough: segments of the frequency order, and prefixes.
+
+    A prefix row also has the number of shingles that no other set has (``alone``) and the sketch of the rest."""
 
     def pack(batches):
         for chunk, rows, sizes, grams in chunks(batches, width):
@@ -227,7 +239,7 @@ def segments(documents: DataFrame, chosen: DataFrame, fragments: int, width: int
         return pa.table({"chunk": table.column("chunk"), "frag": table.column("frag"), "df": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
-        cids, ns, commons, frags, lists = [], [], [], [], []
+        cids, ns, commons, frags, lists, alones, sketches = [], [], [], [], [], [], []
         df_of = {f.as_py(): numbers(c, np.uint32) for f, c in zip(right.column("frag"), right.column("df"), strict=True)}
         for row in range(len(left)):
             grams = numbers(left.column("tokens")[row])
@@ -256,11 +268,13 @@ def segments(documents: DataFrame, chosen: DataFrame, fragments: int, width: int
                 cuts += [(int(f), part) for f, part in zip(starts[0], np.split(own, starts[1][1:]), strict=True)]
                 for f, part in cuts:
                     cids.append(key.tobytes()), ns.append(n), commons.append(common), frags.append(f), lists.append(part.view(np.int64))
+                    alones.append(alone if f == PREFIX else None), sketches.append(sketch(own) if f == PREFIX else None)
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
         values = np.concatenate([np.empty(0, np.int64), *lists])
         return pa.table({"cid": pa.array(cids, pa.binary()), "n": pa.array(ns, pa.int64()),
                          "common": pa.array(commons, pa.float64()), "frag": pa.array(frags, pa.int32()),
-                         "tokens": pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))})
+                         "tokens": pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)),
+                         "alone": pa.array(alones, pa.int64()), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
     texts = (
         documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -298,7 +312,15 @@ def enough(times, a: str, b: str):
     return times + after >= F.ceil((F.col(a) + F.col(b)) * 3 / 7)
 
 
-def linked(postings: DataFrame, segs: DataFrame) -> DataFrame | None:
+def near(a: str, b: str):
+    """Can two sets link by their sketches? At an overlap of 3/7 of both sizes they differ in 1/7 of them; the shingles
+    that only one set has at all differ, of the others at least as many as bits of the sketches."""
+    bits = [F.bit_count(F.col(f"s{a}")[i].bitwiseXOR(F.col(f"s{b}")[i])) for i in range(SKETCH)]
+    differ = F.col(f"x{a}") + F.col(f"x{b}") + sum(bits[1:], bits[0])
+    return F.lit(7) * differ <= F.col(f"n{a}") + F.col(f"n{b}")
+
+
+def linked(postings: DataFrame, segs: DataFrame, sketches: DataFrame) -> DataFrame | None:
     """(v, root) of the sets that link with another; None if no set does."""
     links, roots = None, None
     for turn in range(ROUNDS + 1):
@@ -331,15 +353,17 @@ def linked(postings: DataFrame, segs: DataFrame) -> DataFrame | None:
             mains = mains.where("parts > 1").select("token", F.col("m.comp").alias("main"))
             mixed = held.join(mains, "token")
             # a pair cannot share more shingles than either set has in buckets of several components
-            mixed = mixed.join(mixed.groupBy("cid").agg(F.count(F.lit(1)).alias("most")), "cid")
+            mixed = mixed.join(mixed.groupBy("cid").agg(F.count(F.lit(1)).alias("most")), "cid").join(sketches, "cid")
             outside = mixed.where("comp <> main").select(
-                "token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("own"), F.col("most").alias("ma")
-            )
-            inside = mixed.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), "comp", "main", F.col("most").alias("mb"))
+                "token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("own"), F.col("most").alias("ma"),
+                F.col("alone").alias("xa"), F.col("sketch").alias("sa"),
+            )
+            inside = mixed.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), "comp", "main", F.col("most").alias("mb"),
+                                  F.col("alone").alias("xb"), F.col("sketch").alias("sb"))
             apart = (F.col("own") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("b")))
             pairs = (
                 outside.join(inside, "token")
-                .where(apart & similar_size("na", "nb") & enough(F.least("ma", "mb"), "na", "nb"))
+                .where(apart & similar_size("na", "nb") & enough(F.least("ma", "mb"), "na", "nb") & near("a", "b"))
                 # either end of a pair can be outside, by the bucket: one order, so that its buckets are counted together
                 .select(F.when(F.col("a") < F.col("b"), F.struct("a", "na", "b", "nb")).otherwise(
                     F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb"))).alias("p"))
@@ -372,7 +396,9 @@ def classed(documents: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     )
     segs = materialize(segments(documents, chosen, fragments, width), "segments")
     postings = segs.where(F.col("frag") == PREFIX).select(F.explode("tokens").alias("token"), "cid", "n", "common")
-    return info, linked(materialize(postings, "postings"), segs.where(F.col("frag") != PREFIX))
+    sketches = segs.where(F.col("frag") == PREFIX).select("cid", "alone", "sketch")
+    rest = segs.where(F.col("frag") != PREFIX).select("cid", "frag", "tokens")
+    return info, linked(materialize(postings, "postings"), rest, sketches)
 
 
 def rooted(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
