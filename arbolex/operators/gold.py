@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,11 @@ def _choice(system: str, state: Column) -> Column:
     return tr.let(summary, lambda s: tr.best_move(system, s))
 
 
-def gold_moves(sents: DataFrame, system: str = tr.DEFAULT_SYSTEM) -> DataFrame:
+def gold_moves(sents: DataFrame, system: str = tr.DEFAULT_SYSTEM, keep: Sequence[str] = ()) -> DataFrame:
     """``sent_id, n, moves, costs, head, deprel``: the cheapest move at every step and the tree it gives.
 
-    A fold inside the row, so sentences never leave their partition. Sentences must be sound.
+    A fold inside the row, so sentences never leave their partition. Sentences must be sound. The columns named in
+    ``keep`` come along.
     """
     tr.check_system(system)
     start = F.struct(
@@ -41,8 +44,35 @@ def gold_moves(sents: DataFrame, system: str = tr.DEFAULT_SYSTEM) -> DataFrame:
             ),
         )
 
-    run = sents.select("sent_id", "n", "heads", "deprels", _fold(system, start, step).alias("run"))
-    return run.select("sent_id", "n", "run.moves", "run.costs", "run.state.head", "run.state.deprel")
+    own = [c for c in keep if c not in ("heads", "deprels")]
+    run = sents.select("sent_id", "n", "heads", "deprels", *own, _fold(system, start, step).alias("run"))
+    return run.select("sent_id", "n", *keep, "run.moves", "run.costs", "run.state.head", "run.state.deprel")
+
+
+def over_states(sents: DataFrame, zero: Column, add: Callable[..., Column], system: str = tr.DEFAULT_SYSTEM) -> DataFrame:
+    """Add ``total``: ``add(total, state, step, best)`` folded over the states before each gold move, from ``zero``.
+
+    For sums along the sequences: no row per state, nothing leaves the sentence.
+    """
+    tr.check_system(system)
+    start = F.struct(tr.start_state(F.col("n")).alias("state"), zero.alias("total"))
+
+    def step(acc: Column, i: Column) -> Column:
+        return tr.let(
+            _choice(system, acc["state"]),
+            lambda best: F.struct(
+                tr.apply_move(system, acc["state"], best["move"]).alias("state"),
+                add(acc["total"], acc["state"], i, best).alias("total"),
+            ),
+        )
+
+    return sents.withColumn("total", _fold(system, start, step)["total"])
+
+
+def with_lost(sents: DataFrame, name: str, system: str = tr.DEFAULT_SYSTEM) -> DataFrame:
+    """Add whether the system cannot rebuild the gold tree: some step has no free move."""
+    flagged = over_states(sents, F.lit(False), lambda lost, _state, _step, best: lost | (best["cost"] > 0), system)
+    return flagged.withColumnRenamed("total", name)
 
 
 def gold_states(sents: DataFrame, system: str = tr.DEFAULT_SYSTEM) -> DataFrame:

@@ -14,6 +14,7 @@ from arbolex.operators import batching as ba
 from arbolex.operators import beam as bm
 from arbolex.operators import context_model as cm
 from arbolex.operators import encoding as en
+from arbolex.operators import features as fe
 from arbolex.operators import scores as sc
 from arbolex.operators import training as tn
 from arbolex.operators import treebank as tb
@@ -94,10 +95,14 @@ def parser_job(
         model = tn.train_moves(rows, system, templates, max_iter=max_iter)
     if save is not None:
         st.save_model(save, model, system, templates)
-    scorer = tn.model_scorer(model, templates)
+    in_row = beam == 1 and len(fe.sparse_templates(templates)) == len(templates)
     out: dict = {"las": [], "quality": [tb.quality(c).first().asDict() for c in corpora]}
     for i, corpus in enumerate(corpora):
-        parses = bm.parse(corpus.select("sent_id", "n", "upos"), scorer, system, beam)
+        plain = corpus.select("sent_id", "n", "upos")
+        if in_row:
+            parses = bm.parse_rows(plain, tn.row_scorer(model, templates), system)
+        else:
+            parses = bm.parse(plain, tn.model_scorer(model, templates), system, beam)
         out["las"].append(sc.las(sc.arc_matches(corpus, parses)).first()["las"])
         if i == 0 and output is not None:
             # a sentence id is the number of its block, so lines and predictions meet on it

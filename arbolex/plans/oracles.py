@@ -827,6 +827,38 @@ sql(
     extra=_RUN,
 )
 
+# ---- models: what SQL can say about them
+
+sql(
+    "word_vectors",
+    """SELECT word, 16 AS size, true AS whole FROM topv WHERE id > 3
+       UNION ALL SELECT '<unk>', 16, true WHERE EXISTS (
+         SELECT 1 FROM toks WHERE word = '<unk>' OR word NOT IN (SELECT word FROM topv))""",
+    "topv",
+    "toks",
+)
+sql(
+    "train_moves",
+    """SELECT CAST(sum(c) AS BIGINT) AS n_rows, round(max(c) / sum(c), 6) AS majority, true AS beats_majority FROM (
+         SELECT move, count(*) AS c FROM run WHERE step > 0 AND n BETWEEN 2 AND 64 GROUP BY move)""",
+    "nested",
+    extra=_system_sql(HYBRID_R1, "run", "nested"),
+)
+sql(
+    "beam_step",
+    """SELECT sent_id, CAST(slot AS INT) AS slot, 1 AS parent, CAST(move AS INT) AS move, CAST(score AS DOUBLE) AS score FROM (
+         SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, move) AS slot FROM (
+           SELECT sent_id, move, (31 * move + 17 * upos[1] + 7 * upos[2] + 13 * n) % 101 AS score
+           FROM nested, range(1, 74) r(move) WHERE n > 1 AND (move = 1 OR move % 2 = 0)))
+       WHERE slot <= 4""",
+    "nested",
+)
+sql(
+    "parse_corpus",
+    """SELECT lang, CAST(sum(n) AS BIGINT) AS n_words, true AS beats_commonest FROM nested GROUP BY lang""",
+    "nested",
+)
+
 # ---- streaming
 
 sql("stream_tokens", "SELECT line, n, array_to_string(words, ' ') AS words FROM sents", "sents")

@@ -549,7 +549,10 @@ def perplexity_macro(spark, d):
 def word_vectors(spark, d):
     vocab = vo.top_vocab(materialize(vw.word_counts(spark, d), "counts"))
     known = materialize(ve.map_to_known(vw.sentences(spark, d), vocab), "known")
-    return ve.word_vectors(ve.train_word_vectors(known))
+    out = ve.word_vectors(ve.train_word_vectors(known))
+    return out.select(
+        "word", F.size("vec").alias("size"), (~F.exists("vec", lambda x: x.isNull() | F.isnan(x))).alias("whole")
+    )
 
 
 def _top_vectors(spark, d):
@@ -602,6 +605,13 @@ def _states(spark, d, system: str = tr.DEFAULT_SYSTEM, *keep: str) -> DataFrame:
     return gold.gold_states(sents, system)
 
 
+def _sums(spark, d, names, add, *keep: str) -> DataFrame:
+    """Sums by name along the sequences of tangled trees, one row per sentence that has moves."""
+    sents = vw.tangled(vw.treebank(spark, d)).select("sent_id", "n", "heads", "deprels", *keep).where("n > 1")
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(k) for k in names])
+    return gold.over_states(sents, zero, add).select("sent_id", "total.*")
+
+
 @query
 def legal_moves(spark, d):
     """How often each kind of move is legal along the gold sequences, per system and length."""
@@ -621,24 +631,29 @@ def legal_moves(spark, d):
 @query
 def move_costs(spark, d):
     """Move costs along the sequences of tangled trees, added up per sentence."""
-    states = _states(spark, d)
-    summary = tr.cost_summary(
-        tr.DEFAULT_SYSTEM, F.col("state"), F.col("heads"), F.col("deprels"), F.col("n")
-    )
-    costs = tr.let(summary, lambda s: tr.move_costs(tr.DEFAULT_SYSTEM, s))
-    rows = states.select("sent_id", F.posexplode(costs).alias("pos", "cost")).where(F.col("cost") < tr.ILLEGAL)
-    return rows.groupBy("sent_id").agg(
-        F.count(F.lit(1)).alias("n_legal"),
-        F.sum("cost").alias("cost_sum"),
-        F.sum(F.col("cost") * (F.col("pos") + 1)).alias("weighted_sum"),
-    )
+    names = ("n_legal", "cost_sum", "weighted_sum")
+
+    def add(total, state, _step, _best):
+        summary = tr.cost_summary(tr.DEFAULT_SYSTEM, state, F.col("heads"), F.col("deprels"), F.col("n"))
+        costs = F.transform(
+            tr.let(summary, lambda s: tr.move_costs(tr.DEFAULT_SYSTEM, s)),
+            lambda c, i: F.struct(c.cast("bigint").alias("c"), (i + 1).alias("move")),
+        )
+
+        def sums(acc, x):
+            more = (F.lit(1), x["c"], x["c"] * x["move"])
+            return F.struct(*[(acc[k] + m).alias(k) for k, m in zip(names, more, strict=True)])
+
+        return F.aggregate(F.filter(costs, lambda x: x["c"] < tr.ILLEGAL), total, sums)
+
+    return _sums(spark, d, names, add)
 
 
 @query
 def apply_moves(spark, d):
     """Replay the gold moves one by one and compare the tree they build with the gold tree."""
     sents = tb.sound(vw.treebank(spark, d))
-    runs = gold.gold_moves(sents).select("sent_id", "n", "moves").join(sents.select("sent_id", "heads", "deprels"), "sent_id")
+    runs = gold.gold_moves(sents, keep=("heads", "deprels")).select("sent_id", "n", "moves", "heads", "deprels")
     replay = F.aggregate(
         "moves", tr.start_state(F.col("n")), lambda s, m: tr.checked_move(tr.DEFAULT_SYSTEM, s, m, F.col("n"))
     )
@@ -653,62 +668,88 @@ def apply_moves(spark, d):
 @query
 def unreachable_trees(spark, d):
     """Tree shapes next to what the gold sequences of both root rules can rebuild."""
-    sents = materialize(vw.tangled(vw.treebank(spark, d)).select("sent_id", "n", "heads", "deprels"), "tangled")
-    out = tb.crossing(sents).select("sent_id", "n_roots", "crosses", "over_root")
+    out = tb.crossing(vw.tangled(vw.treebank(spark, d)).select("sent_id", "n", "heads", "deprels"))
     for system in (tr.HYBRID_R1, tr.HYBRID):
-        lost = gold.unreachable(sents, system).withColumn(f"lost_{system}", F.lit(True))
-        out = out.join(lost, "sent_id", "left").fillna({f"lost_{system}": False})
-    return out
+        out = gold.with_lost(out, f"lost_{system}", system)
+    return out.drop("n", "heads", "deprels")
 
 
 @query
 def feature_anchors(spark, d):
     """Anchor positions along the sequences, added up per sentence."""
-    anchors = fe.feature_anchors(_states(spark, d))
-    names = sorted({t[:-1] for t in an.TEMPLATES})
-    return anchors.groupBy("sent_id").agg(
-        *[F.sum(F.col(a) * F.col("step")).cast("bigint").alias(a) for a in names]
-    )
+    anchors = {t.anchor: t for t in map(an.parse_template, an.TEMPLATES)}
+
+    def add(total, state, step, _best):
+        return F.struct(*[(total[a] + an.anchor(t, state, F.col("n")) * step).alias(a) for a, t in anchors.items()])
+
+    return _sums(spark, d, list(anchors), add)
 
 
 @query
 def transition_features(spark, d):
     """Active sparse features along the sequences, added up per sentence."""
-    rows = fe.transition_features(_states(spark, d, tr.DEFAULT_SYSTEM, "upos"))
-    active = rows.select("sent_id", "step", F.explode_outer("feature_ids").alias("feature"))
-    return active.groupBy("sent_id").agg(
-        F.count("feature").alias("n_active"), F.sum(F.col("feature") * F.col("step")).alias("id_sum")
-    )
+    def add(total, state, step, _best):
+        return tr.let(
+            fe.sparse_features(state=state)["ids"],
+            lambda ids: F.struct(
+                (total["n_active"] + F.size(ids)).alias("n_active"),
+                (total["id_sum"] + F.aggregate(ids, F.lit(0), lambda a, i: a + i) * step).alias("id_sum"),
+            ),
+        )
+
+    return _sums(spark, d, ("n_active", "id_sum"), add, "upos")
 
 
-def _trained(spark, d):
-    sents = materialize(tb.sound(vw.treebank(spark, d)).select("sent_id", "n", "upos", "heads", "deprels"), "sound")
-    rows = materialize(tn.training_rows(sents), "training")
-    return sents, rows, tn.train_moves(rows, max_iter=5)
+def _cross_trained(spark, d):
+    """Sound sentences and training rows in two folds by document, and for each fold the model of the other."""
+    fold = F.coalesce(F.pmod(F.col("doc_id"), F.lit(2)), F.lit(0)).cast("int").alias("fold")
+    sents = tb.sound(vw.treebank(spark, d)).select("sent_id", "lang", fold, "n", "upos", "heads", "deprels")
+    sents = materialize(sents, "sound")
+    rows = materialize(tn.training_rows(sents, keep=("fold",)), "training")
+    return sents, rows, {f: tn.train_moves(rows.where(F.col("fold") != f), max_iter=5) for f in (0, 1)}
 
 
 @query
 def train_moves(spark, d):
-    _, rows, model = _trained(spark, d)
-    return tn.move_accuracy(rows, model)
+    """Does the classifier beat the commonest move on the fold it has not seen?"""
+    _, rows, models = _cross_trained(spark, d)
+    hits = [tn.move_hits(rows.where(F.col("fold") == f), model) for f, model in models.items()]
+    return tn.accuracy(hits[0].unionByName(hits[1])).select(
+        "n_rows", F.round("majority", 6).alias("majority"), (F.col("accuracy") > F.col("majority")).alias("beats_majority")
+    )
 
 
 @query
 def beam_step(spark, d):
-    """The first beam step of all sentences under a trained model."""
-    sents, _, model = _trained(spark, d)
-    states = bm.start_states(sents.where(F.col("n") > 1))
-    out = bm.beam_step(states, tn.model_scorer(model), beam=BEAM)
-    return out.select("sent_id", "slot", "parent", "move", F.round("score", 6).alias("score"))
+    """The first beam step of all sentences under given scores: a rule of move, words in focus and tag."""
+    moves = F.sequence(F.lit(1), F.lit(tr.move_count(tr.DEFAULT_SYSTEM)))
+
+    def scorer(states):
+        top, front = F.element_at("state.stack", -1), F.col("state.wptr")
+        rest = 17 * F.get("upos", top - 1) + 7 * F.get("upos", front - 1) + 13 * F.col("n")
+        return states.withColumn("scores", F.transform(moves, lambda m: ((31 * m + rest) % 101).cast("double")))
+
+    states = bm.start_states(vw.treebank(spark, d).where("n > 1").select("sent_id", "n", "upos"))
+    return bm.beam_step(states, scorer, beam=BEAM).select("sent_id", "slot", "parent", "move", "score")
 
 
 @query
 def parse_corpus(spark, d):
-    """Parse the whole treebank with a trained model and score it by language."""
-    sents, _, model = _trained(spark, d)
-    parses = bm.parse(sents.select("sent_id", "n", "upos"), tn.model_scorer(model))
-    langs = vw.treebank(spark, d).select("sent_id", "lang")
-    return sc.las(sc.arc_matches(sents.join(langs, "sent_id"), parses), ["lang"])
+    """Parse the whole treebank, each fold by the model of the other: words by language, and whether the score beats
+    the arc (distance of the head, label) that is commonest in the language."""
+    sents, _, models = _cross_trained(spark, d)
+    parses = [
+        bm.parse_rows(sents.where(F.col("fold") == f).select("sent_id", "n", "upos"), tn.row_scorer(model))
+        for f, model in models.items()
+    ]
+    scores = sc.las(sc.arc_matches(sents, parses[0].unionByName(parses[1])), ["lang"])
+    arcs = F.zip_with("heads", "deprels", lambda h, l: F.struct(h.alias("head"), l.alias("label")))
+    words = sents.select("lang", F.posexplode(arcs).alias("pos", "arc"))
+    common = words.groupBy("lang", F.col("arc.head") - F.col("pos"), "arc.label").agg(F.count(F.lit(1)).alias("c"))
+    common = common.groupBy("lang").agg(F.max("c").alias("commonest"))
+    return scores.join(common.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang"))).select(
+        "lang", "n_words", (F.col("n_correct") > F.col("commonest")).alias("beats_commonest")
+    )
 
 
 @query

@@ -108,6 +108,30 @@ def test_training_beats_the_majority_and_reloads(spark, sentences, tmp_path):
         tn.train_moves(rows, estimator="forest")
 
 
+def test_parsing_inside_the_row_equals_the_loop(sentences):
+    sents = sentences(*random_trees(40)).select("sent_id", "n", "upos", "heads", "deprels")
+    model = tn.train_moves(tn.training_rows(sents), max_iter=10)
+    plain = sents.select("sent_id", "n", "upos")
+    looped = {r.sent_id: r for r in bm.parse(plain, tn.model_scorer(model)).collect()}
+    in_row = {r.sent_id: r for r in bm.parse_rows(plain, tn.row_scorer(model)).collect()}
+    assert looped.keys() == in_row.keys() and len(in_row) == 40
+    for key, r in in_row.items():
+        assert (r.heads, r.deprels) == (looped[key].heads, looped[key].deprels)
+        assert r.score == pytest.approx(looped[key].score)
+    other = tn.train_moves(tn.training_rows(sents, templates=["s0p"]), templates=["s0p"], max_iter=2)
+    with pytest.raises(ValueError):
+        tn.row_scorer(other)
+
+
+def test_sums_inside_the_row_equal_sums_over_states(sentences):
+    sents = sentences(*random_trees(20)).select("sent_id", "n", "heads", "deprels").where("n > 1")
+    states = gold.gold_states(sents)
+    want = {r.sent_id: r.s for r in states.groupBy("sent_id").agg(F.sum(F.size("state.stack") * F.col("step")).alias("s")).collect()}
+    add = lambda total, state, step, best: total + F.size(state["stack"]) * step
+    got = {r.sent_id: r.total for r in gold.over_states(sents, F.lit(0), add).collect()}
+    assert got == want
+
+
 def test_perceptron(sentences):
     templates = ["s0p", "n0p"]
     rows = tn.training_rows(sentences(*random_trees(20)), templates=templates)
