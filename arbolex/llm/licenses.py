@@ -16,8 +16,11 @@ repeated rows give equal rows; equal Dice values go to the first template by nam
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,17 +56,19 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def size_bounds(n: int, t: float = THRESHOLD) -> tuple[int, int]:
-    """Sizes that a set must have to reach ``t`` with a set of ``n``."""
-    return -int(-(n * t / (2 - t)) // 1), int(n * (2 - t) / t + 1e-9)
+    """Sizes that a set must have to reach ``t`` with a set of ``n``; in fractions, since a rounded product loses sizes."""
+    exact = Fraction(str(t))
+    return math.ceil(n * exact / (2 - exact)), math.floor(n * (2 - exact) / exact)
 
 
 def key_words(templates: Mapping[str, str], t: float = THRESHOLD) -> list[str]:
-    """Words of which every matching unit holds at least one."""
+    """Words of which every matching unit holds at least one; among words of a length those of few templates come first."""
     chosen: set[str] = set()
+    spread = Counter(w for text in templates.values() for w in set(words_of(text)))
     for text in templates.values():
         grams = bigrams_of(text)
         needed = size_bounds(len(grams), t)[0]  # the smallest set that matches shares all of itself
-        for word in sorted(set(words_of(text)), key=lambda w: (-len(w), w)):
+        for word in sorted(set(words_of(text)), key=lambda w: (-len(w), spread[w], w)):
             if sum(not chosen & set(g.split()) for g in grams) < needed:
                 break
             chosen.add(word)

@@ -115,6 +115,14 @@ def test_licenses_equal_the_plain_scan(spark):
     assert sum(r.n_matches > 0 for r in rows) > 15
 
 
+def test_licenses_at_the_threshold_match(spark):
+    for n in range(1, 2000):
+        assert licenses.size_bounds(n) == (-(-2 * n // 3), 3 * n // 2)
+    texts = ["CC BY-NC 4.0", "CC BY-SA 4.0", "the BSD 3-Clause License"]  # 4 of 6 bigrams: 2 * 4 / 10
+    rows = sorted(licenses.license_scan(make(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_matches, r.best, r.dice) for r in rows] == [(1, x, 0.8) for x in ("CC-BY-NC-4.0", "CC-BY-SA-4.0", "BSD-3-Clause")]
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------------
 
 
