@@ -123,6 +123,26 @@ def test_licenses_at_the_threshold_match(spark):
     assert [(r.n_matches, r.best, r.dice) for r in rows] == [(1, x, 0.8) for x in ("CC-BY-NC-4.0", "CC-BY-SA-4.0", "BSD-3-Clause")]
 
 
+def test_licenses_inside_lines_and_over_lines_match(spark):
+    grant, header = licenses.TEMPLATES["MIT-grant"], licenses.TEMPLATES["Apache-2.0-header"]
+    lines = [" ".join(header.split(" ")[k : k + 3]) for k in range(0, 40, 3)]
+    wrapped = "\n * ".join([" * some words of our own", "and more", "", *lines, " ".join(f"w{k}" for k in range(60))])
+    cases = [
+        ("This project is small. Released under the MIT License.", 1, "MIT", 1.0, "MIT"),
+        (wrapped, 1, "Apache-2.0-header", 1.0, "Apache-2.0-header"),
+        ("x y z " * 40 + grant.replace("deal in", "trade in") + " a b c" * 40, 1, "MIT-grant", None, "MIT-grant"),
+        ("Our code is released under the MIT License, our pictures are licensed under CC BY 4.0, all of them.", 2, "CC-BY-4.0", 1.0, "CC-BY-4.0,MIT"),
+        ("Released under the MIT License.\nIt is what is called released under the MIT license here.", 2, "MIT", 1.0, "MIT"),
+        ("a b c released under the MIT License d e f. g h i released under the MIT License j k l", 1, "MIT", 1.0, "MIT"),
+        ("It was released under pressure.\nThe license is not named in this line of words.", 0, None, None, ""),
+        ("none of the words " * 50, 0, None, None, ""),
+    ]
+    rows = sorted(licenses.license_scan(make(spark, [c[0] for c in cases])).collect(), key=lambda r: r.doc_id)
+    for r, (_, n, best, dice, names) in zip(rows, cases, strict=True):
+        assert (r.n_matches, r.best, r.licenses) == (n, best, names)
+        assert r.dice == dice if dice or not n else r.dice > 0.9
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------------
 
 
