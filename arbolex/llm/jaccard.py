@@ -276,9 +276,11 @@ def segments(documents: DataFrame, chosen: DataFrame, fragments: int, width: int
                          "tokens": pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)),
                          "alone": pa.array(alones, pa.int64()), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
+    rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    picked = chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     texts = (
-        documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-        .join(chosen.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
+        # rows without id are told apart by their text
+        rows.join(picked, rows["doc_id"].eqNullSafe(picked["_id"]) & (rows["text_hash"] == picked["_hash"]), "left_semi")
         .dropDuplicates(["doc_id", "text_hash"])
     )
     packed = materialize(texts.mapInArrow(pack, CHUNK_ROW), "sets")
@@ -388,9 +390,9 @@ def classed(documents: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     info = materialize(screened(documents.select("doc_id", "text"), fragments, width), "screened")
     least = F.ceil(F.col("n") * 3 / 4)
     chosen = (
-        info.where("n > 0 and doc_id is not null")
+        info.where("n > 0")
         .groupBy("cid")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.max("shared").alias("shared"), F.first("n").alias("n"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")).alias("r"), F.max("shared").alias("shared"), F.first("n").alias("n"))
         .where(F.col("shared") >= F.greatest(F.lit(1), F.floor(least / 10)))
         .select("r.doc_id", "r.text_hash")
     )

@@ -200,6 +200,19 @@ def test_components_of_empty_and_repeated_rows(spark):
     assert Counter(r.doc_id for r in representatives(twice).collect()) == Counter({0: 1, 1: 2})
 
 
+def test_near_copies_without_ids_are_linked(spark):
+    chain, other = [f"c{i}" for i in range(120)], [f"d{i}" for i in range(100)]
+    bridge = [" ".join(chain[k : k + 100]) for k in (0, 9, 18)]  # the outer two link through the middle one only
+    copies = [" ".join(other), " ".join([*other[:-2], "x", "y"])]
+    rows = [(1, bridge[0]), (None, bridge[1]), (2, bridge[2]), *[(None, t) for t in copies], (None, bridge[1])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCUMENT)
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_components(docs).collect())
+    assert got == Counter({(1, 1): 1, (2, 1): 1, (None, 1): 2, (None, None): 2})
+    kept = representatives(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept) == [(False, 1), (True, None)]
+    assert sum(r.text in copies for r in kept) == 1
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     assert {r.v: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
