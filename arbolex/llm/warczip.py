@@ -17,6 +17,7 @@ group without any id has only responses. Columns other than id, url and html are
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import struct
 import uuid
@@ -126,7 +127,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, resp
 
 
 def parse(data: bytes) -> tuple[int | None, int, str, str, int | None, bytes]:
-    """(page id, payload bytes, hex digest, type, referred page, payload) of one record."""
+    """(page id, payload bytes, hex digest, type, referred page, payload) of one record.
+
+    Length and digest of a response are those of the payload that was read; if its headers differ, it is an error."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
@@ -134,6 +137,11 @@ def parse(data: bytes) -> tuple[int | None, int, str, str, int | None, bytes]:
     length = int(next(x.split(b": ")[1] for x in http.split(b"\r\n") if x.startswith(b"Content-Length: ")))
     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     page_id, refers_to = json.loads(fields["X-Page"])
+    if fields["WARC-Type"] == "response":
+        found = len(payload), hashlib.sha1(payload).hexdigest()
+        if found != (length, digest):
+            raise ValueError(f"page {page_id}: payload of {found[0]} bytes, SHA-1 {found[1]}; its headers say {length}, {digest}")
+        length, digest = found
     return page_id, length, digest, fields["WARC-Type"], refers_to, payload
 
 

@@ -324,6 +324,16 @@ def test_archives_are_zip_files_and_read_without_extraction():
     assert data[at : at + n] == b"data of another writer"
 
 
+def test_payloads_that_differ_from_their_headers_are_refused():
+    data = b"some payload"
+    raw = warczip.record(1, "u", data, hashlib.sha1(data).hexdigest(), True, None)
+    assert warczip.parse(raw) == (1, len(data), hashlib.sha1(data).hexdigest(), "response", None, data)
+    for wrong in (raw.replace(data, b"same length!"), raw.replace(b"Content-Length: 12", b"Content-Length: 13")):
+        assert wrong != raw
+        with pytest.raises(ValueError, match="page 1"):
+            warczip.parse(wrong)
+
+
 def test_pages_come_back_with_revisits(spark):
     long = "é" * 600
     rows = [(1, "u", long), (5, None, long), (3, "a\r\nb", long), (2, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", "\r\n\r\n" * 400), (None, "u", long)]
