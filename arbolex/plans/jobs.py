@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from arbolex.operators import features as fe
 from arbolex.operators import scores as sc
 from arbolex.operators import training as tn
 from arbolex.operators import treebank as tb
+from arbolex.operators import vectors as ve
 from arbolex.operators import vocabulary as vo
 from arbolex.session import materialize
 from arbolex.sources import conllu as co
@@ -70,6 +72,14 @@ def text_perplexity(sents: DataFrame, train: DataFrame, vocab: DataFrame) -> Dat
     return cm.perplexity(cm.trigram_logprob(target, train, vocab.count()))
 
 
+def with_vectors(corpus: DataFrame, vectors: DataFrame, neighbours: int = 2) -> DataFrame:
+    """Sentences with ``wvec, fvec, bvec`` from word vectors (``word, vec``) of a bounded vocabulary."""
+    dim = vectors.select(F.max(F.size("vec"))).first()[0]
+    words = vo.tokens(corpus.select("sent_id", "n", F.col("forms").alias("words")))
+    nested = ve.context_vectors(ve.sentence_vectors(words, vectors), neighbours, dim)
+    return corpus.join(nested, "sent_id")
+
+
 def parser_job(
     spark: SparkSession,
     files: Sequence[str],
@@ -81,36 +91,58 @@ def parser_job(
     beam: int = 1,
     max_iter: int = 20,
     vocab: DataFrame | None = None,
+    epochs: int = 0,
+    hidden: Sequence[int] = (),
+    vectors: DataFrame | None = None,
+    trigrams: DataFrame | None = None,
 ) -> dict:
     """Train on the first treebank, parse and score every one, write the parse of the first.
 
     With ``load`` a saved model is used instead of training; it must fit ``system`` and ``templates``.
-    With ``vocab`` (a bounded output vocabulary) the unknown-word rate over all files is reported.
+    With ``epochs`` a perceptron of ``hidden`` layers is trained in epochs of ``max_iter`` passes; after each the last
+    treebank is parsed greedily, and the model of the best score is used and saved. The curve is returned, and written
+    to ``<save>/curve``.
+    With ``vectors`` (word vectors of a bounded vocabulary) the dense templates take part.
+    With ``vocab`` (a bounded output vocabulary) the unknown-word rate over all files is reported, and with
+    ``trigrams`` (context counts over that vocabulary) also the perplexity of every file.
     """
     corpora = [materialize(co.read_conllu(spark, f), "treebank") for f in files]
+    if vectors is not None:
+        corpora = [materialize(with_vectors(c, vectors), "treebank") for c in corpora]
+    known = [c for c in fe.VECTORS if vectors is not None]
+
+    def parsed(corpus: DataFrame, model: PipelineModel, beam: int) -> DataFrame:
+        plain, scores = corpus.select("sent_id", "n", "upos", *known), tn.row_scorer(model, templates)
+        return bm.parse_rows(plain, scores, system) if beam == 1 else bm.parse_beam(plain, scores, system, beam)
+
+    def las(corpus: DataFrame, model: PipelineModel) -> float:
+        return sc.las(sc.arc_matches(corpus, parsed(corpus, model, 1))).first()["las"] or 0.0
+
+    out: dict = {"las": [], "quality": [tb.quality(c).first().asDict() for c in corpora]}
     if load is not None:
         model, _ = st.load_model(spark, load, system, templates)
     else:
         rows = materialize(tn.training_rows(tb.sound(corpora[0]), system, templates), "training")
-        model = tn.train_moves(rows, system, templates, max_iter=max_iter)
+        if epochs:
+            model, out["curve"] = tn.train_epochs(rows, lambda m: las(corpora[-1], m), epochs, system, templates, hidden, max_iter)
+        else:
+            model = tn.train_moves(rows, system, templates, max_iter=max_iter)
     if save is not None:
         st.save_model(save, model, system, templates)
-    in_row = beam == 1 and len(fe.sparse_templates(templates)) == len(templates)
-    out: dict = {"las": [], "quality": [tb.quality(c).first().asDict() for c in corpora]}
+        if "curve" in out:
+            out["curve"].write.mode("overwrite").parquet(f"{save}/curve")
     for i, corpus in enumerate(corpora):
-        plain = corpus.select("sent_id", "n", "upos")
-        if in_row:
-            parses = bm.parse_rows(plain, tn.row_scorer(model, templates), system)
-        else:
-            parses = bm.parse(plain, tn.model_scorer(model, templates), system, beam)
+        parses = parsed(corpus, model, beam)
         out["las"].append(sc.las(sc.arc_matches(corpus, parses)).first()["las"])
         if i == 0 and output is not None:
-            # a sentence id is the number of its block, so lines and predictions meet on it
-            lines = co.block_lines(co.number_blocks(co.sentence_blocks(spark, files[0])))
-            forms = corpus.select("sent_id", "forms", "upos")
-            guesses = co.token_rows(parses.select("sent_id", "n", "heads", "deprels").join(forms, "sent_id"))
-            co.write_conllu(co.rewrite_lines(lines, guesses), output)
+            # a sentence id is the number of its block, so blocks and predictions meet on it
+            guesses = parses.join(corpus.select("sent_id", "forms"), "sent_id")
+            rewritten = co.rewrite_blocks(co.placed_blocks(spark, files[0]), guesses)
+            co.write_blocks(rewritten.withColumnRenamed("block", "value"), output)
     if vocab is not None:
         words = tb.union_corpora(**{f"f{i}": c.select(F.explode("forms").alias("word")) for i, c in enumerate(corpora)})
         out["unknown"] = vo.unknown_rate(vo.word_counts(words.select("word")), vocab).first().asDict()
+        if trigrams is not None:
+            texts = [c.select("sent_id", F.col("forms").alias("words"), "n") for c in corpora]
+            out["perplexity"] = [text_perplexity(t, trigrams, vocab).first()["perplexity"] for t in texts]
     return out

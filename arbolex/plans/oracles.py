@@ -819,6 +819,50 @@ sql(
     "tangled",
     extra=_RUN + ",\n" + _ANCHORED,
 )
+
+
+def _dense_sql() -> str:
+    """Vectors of the words in template order: contexts, then the word, for each of four anchors."""
+
+    def word(a):
+        t, zeros = f"upos[{a}]", "[0, 0, 0, 0, 0, 0, 0]"
+        return f"""CASE WHEN {a} > 0 THEN [{t} * {a} % 5, {a} % 3, (n - {a}) % 5, {t} % 3, {t}, {a}, n - {a}] ELSE {zeros} END"""
+
+    return "list_concat(" + ", ".join(map(word, ("s1", "s0", "n0", "n1"))) + ")"
+
+
+_DENSE = f"featured AS (SELECT sent_id, nth, {_features_sql()} AS ids, {_dense_sql()} AS dense FROM anchored)"
+sql(
+    "dense_features",
+    """SELECT sent_id, CAST(sum(len(ids)) AS BIGINT) AS n_active, CAST(sum(coalesce(list_sum(ids), 0) * nth) AS BIGINT) AS id_sum,
+         CAST(sum(list_sum(list_transform(dense, lambda x, j: x * j)) * nth) AS BIGINT) AS dense_sum FROM featured GROUP BY sent_id""",
+    "tangled",
+    extra=_RUN + ",\n" + _ANCHORED + ",\n" + _DENSE,
+)
+
+
+def _hidden_sql(k: int) -> str:
+    weight = f"((7 * (i) + {3 * k}) % 11 - 5)"
+    sparse = f"coalesce(list_sum(list_transform(ids, lambda i: {weight})), 0)"
+    # the vectors follow the sparse features
+    dense = f"list_sum(list_transform(dense, lambda x, j: x * {weight.replace('(i)', '(j + SPARSE - 1)')}))"
+    return f"1 / (1 + exp(-({k} / CAST(8 AS DOUBLE) + ({sparse} + {dense}) / CAST(64 AS DOUBLE)))) AS h{k}"
+
+
+def _output_sql(m: int) -> str:
+    terms = " + ".join(f"h{k} * {((5 * k + m) % 7 - 3) / 4}" for k in range(4))
+    return f"round(CAST(sum(CAST({m / 16} AS DOUBLE) + {terms}) AS DOUBLE), 4) AS out_{m + 1}"
+
+
+sql(
+    "perceptron_scores",
+    f"""SELECT sent_id, {", ".join(map(_output_sql, range(3)))}
+        FROM (SELECT sent_id, {", ".join(map(_hidden_sql, range(4)))} FROM featured) GROUP BY sent_id""".replace(
+        "SPARSE", str(4 * 17 + 8 * 37 + 6 * 10)
+    ),
+    "tangled",
+    extra=_RUN + ",\n" + _ANCHORED + ",\n" + _DENSE,
+)
 sql(
     "distinct_states",
     """SELECT n, CAST(sum(c) AS BIGINT) AS n_states, count(*) AS n_distinct, max(c) AS max_copies FROM (
@@ -853,6 +897,77 @@ sql(
        WHERE slot <= 4""",
     "nested",
 )
+
+
+def _beam_sql(source: str, score: str, beam: int) -> str:
+    """Recursive part ``beam``: the members of each sentence's beam after every step, in the hybrid system of one root.
+
+    ``score`` is the score of move ``m``. ``alive`` tells whether some member has cost nothing; a beam without goes no
+    further. ``free`` is the score that the first such member had with its first free move, ``free_next`` that of a member.
+    """
+    focus = """SELECT *, len(stack) AS sz, wptr AS n0, coalesce(stack[len(stack)], 0) AS s0,
+          CASE WHEN len(stack) > 1 THEN stack[len(stack) - 1] ELSE 0 END AS s1,
+          coalesce(heads[wptr], 0) AS gn, coalesce(heads[stack[len(stack)]], 0) AS gs,
+          len(list_filter(stack, lambda x: heads[x] = wptr)) AS n0l,
+          len(list_filter(heads[wptr : n], lambda x: x = coalesce(stack[len(stack)], 0))) AS s0r,
+          coalesce(upos[stack[len(stack)]], 0) AS t0, coalesce(upos[wptr], 0) AS tn
+        FROM beam WHERE alive AND step < 2 * n - 2"""
+    priced = f"""SELECT *, n0l + CASE WHEN gn <> s0 AND list_contains(stack, gn) THEN 1 ELSE 0 END
+            + CASE WHEN gn = 0 AND sz > 0 THEN 1 ELSE 0 END AS c_s,
+          s0r + CASE WHEN gs > n0 OR (sz = 1 AND gs = 0) OR (sz > 1 AND gs = s1) THEN 1 ELSE 0 END AS c_l,
+          s0r + CASE WHEN gs >= n0 THEN 1 ELSE 0 END AS c_r,
+          CASE WHEN gs = n0 AND s0 > 0 THEN deprels[s0] ELSE 0 END AS g_l,
+          CASE WHEN gs = s1 AND s0 > 0 THEN deprels[s0] ELSE 0 END AS g_r FROM ({focus})"""
+    cost = """CASE WHEN m = 1 THEN c_s WHEN m % 2 = 0 THEN c_l + CASE WHEN g_l > 0 AND m // 2 + 1 <> g_l THEN 1 ELSE 0 END
+                   ELSE c_r + CASE WHEN g_r > 0 AND m // 2 + 1 <> g_r THEN 1 ELSE 0 END END"""
+    legal = "CASE WHEN m = 1 THEN n0 <= n WHEN m % 2 = 0 THEN n0 <= n AND sz > 0 ELSE sz > 1 END"
+    moves = f"""SELECT *, list_transform(list_filter(range(1, 74), lambda m: {legal}),
+          lambda m: {{'m': m, 'c': {cost}}}) AS moves FROM ({priced})"""
+    scored = f"""SELECT *, list_transform(moves, lambda x: {{'neg': -(score + {score}), 'm': x.m, 'c': cost + x.c}}) AS entries FROM ({moves})"""
+    best = f"""SELECT * EXCLUDE (free), list_sort(entries)[1:{beam}] AS top,
+          CASE WHEN cost = 0 THEN list_min(list_transform(list_filter(entries, lambda e: e.c = 0), lambda e: {{'m': e.m, 's': -e.neg}})).s END AS free_next
+        FROM ({scored})"""
+    ranked = f"""SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY pick.neg, slot, pick.m) AS place,
+          arg_min(coalesce(free_next, 'nan'), slot) FILTER (cost = 0) OVER (PARTITION BY sent_id) AS free
+        FROM (SELECT *, unnest(top) AS pick FROM ({best}))"""
+    kept = f"""SELECT * EXCLUDE (alive), bool_or(pick.c = 0) OVER (PARTITION BY sent_id) AS alive, pick.m AS m,
+          CASE WHEN pick.m = 1 THEN 0 ELSE s0 END AS dep, CASE WHEN pick.m % 2 = 0 THEN n0 ELSE s1 END AS gov
+        FROM ({ranked}) WHERE place <= {beam}"""
+    return f"""beam AS (
+      SELECT sent_id, n, heads, deprels, upos, 0 AS step, CAST(1 AS BIGINT) AS slot, [CAST(1 AS BIGINT)] AS stack, CAST(2 AS BIGINT) AS wptr,
+        list_transform(range(0, n), lambda x: CAST(0 AS BIGINT)) AS head,
+        list_transform(range(0, n), lambda x: CAST(1 AS BIGINT)) AS deprel,
+        CAST(0 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS cost, true AS alive, CAST(NULL AS DOUBLE) AS free FROM {source}
+      UNION ALL
+      SELECT sent_id, n, heads, deprels, upos, step + 1, place,
+        CASE WHEN m = 1 THEN list_append(stack, n0) ELSE stack[1 : sz - 1] END, CASE WHEN m = 1 THEN n0 + 1 ELSE n0 END,
+        CASE WHEN dep = 0 THEN head ELSE list_transform(head, lambda x, i: CASE WHEN i = dep THEN gov ELSE x END) END,
+        CASE WHEN dep = 0 THEN deprel ELSE list_transform(deprel, lambda x, i: CASE WHEN i = dep THEN m // 2 + 1 ELSE x END) END,
+        -pick.neg, pick.c, alive, free FROM ({kept}))"""
+
+
+_RULE = "(31 * x.m + 17 * t0 + 7 * tn + 13 * n + 5 * sz) % 101"
+# no gold moves are needed here, so the search never stops early
+sql(
+    "beam_parse",
+    """SELECT sent_id, score, array_to_string(head, ' ') AS heads, array_to_string(deprel, ' ') AS deprels
+       FROM beam WHERE slot = 1 AND step = 2 * n - 2""",
+    "nested",
+    extra=_beam_sql("nested", f"CAST({_RULE} AS DOUBLE)", 4).replace("WHERE alive AND step", "WHERE step"),
+)
+sql(
+    "beam_search_loss",
+    """SELECT sent_id, any_value(step) AS steps, NOT any_value(alive) AS early_stop,
+         round(CASE WHEN any_value(n) = 1 THEN 0 WHEN any_value(alive) THEN top + ln(sum(exp(score - top))) - gold
+              WHEN isnan(any_value(free)) THEN 0
+              ELSE greatest(top, any_value(free)) + ln(sum(exp(score - greatest(top, free))) + exp(any_value(free) - greatest(top, any_value(free))))
+                   - any_value(free) END, 6) AS loss
+       FROM (SELECT *, max(score) OVER w AS top, arg_min(score, slot) FILTER (cost = 0) OVER w AS gold FROM beam
+             WHERE step = 2 * n - 2 OR NOT alive WINDOW w AS (PARTITION BY sent_id))
+       GROUP BY sent_id, top, gold""",
+    "nested",
+    extra=_beam_sql("nested", f"(({_RULE}) % 37 - 20 * x.c) / CAST(8 AS DOUBLE)", 4),
+)
 sql(
     "parse_corpus",
     """SELECT lang, CAST(sum(n) AS BIGINT) AS n_words, true AS beats_commonest FROM nested GROUP BY lang""",

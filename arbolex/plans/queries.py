@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from arbolex.functions import anchors as an
 from arbolex.functions import text as tx
 from arbolex.functions import transitions as tr
+from arbolex.functions.layers import Layer
 from arbolex.functions.arrays import mask_sum
 from arbolex.operators import batching as ba
 from arbolex.operators import beam as bm
@@ -67,8 +68,9 @@ def line_scan(spark, d):
 def conllu_scan(spark, d):
     """Write the treebank as CoNLL-U text, scan it back, long form."""
     path = new_path(spark, "treebank")
-    blocks = vw.conllu_lines(vw.treebank(spark, d)).select("sent_id", F.array_join("raws", "\n").alias("value"))
-    co.write_blocks(blocks, path)
+    sents = vw.treebank(spark, d, in_order=True)
+    blocks = vw.conllu_lines(sents).select("sent_id", F.array_join("raws", "\n").alias("value"))
+    co.write_blocks(blocks, path, in_order=True)
     return co.token_rows(co.read_conllu(spark, path))
 
 
@@ -108,10 +110,8 @@ def vocab_ids(spark, d):
 @query
 def conllu_rewrite(spark, d):
     sents = materialize(vw.treebank(spark, d), "treebank")
-    lines = vw.conllu_lines(sents).select("sent_id", F.posexplode("raws").alias("pos", "raw"))
-    lines = lines.select("sent_id", (F.col("pos") + 1).alias("line_no"), "raw")
-    guesses = co.token_rows(vw.predicted(sents)).select("sent_id", "tok_id", "form", "head", "deprel")
-    return co.rewrite_lines(lines, guesses)
+    blocks = vw.conllu_lines(sents).select("sent_id", F.array_join("raws", "\n").alias("block"))
+    return co.block_lines(co.rewrite_blocks(blocks, vw.predicted(sents)))
 
 
 @query
@@ -700,6 +700,56 @@ def transition_features(spark, d):
     return _sums(spark, d, ("n_active", "id_sum"), add, "upos")
 
 
+def _given_vectors(sents: DataFrame) -> DataFrame:
+    """Word and context vectors by a rule of tag and place."""
+    def vec(*rule):
+        return F.transform("upos", lambda t, i: F.array(*[f(t, i + 1).cast("double") for f in rule]))
+
+    n = F.col("n")
+    return sents.withColumns({
+        "wvec": vec(lambda t, i: t, lambda t, i: i, lambda t, i: n - i),
+        "fvec": vec(lambda t, i: t * i % 5, lambda t, i: i % 3), "bvec": vec(lambda t, i: (n - i) % 5, lambda t, i: t % 3),
+    })
+
+
+@query
+def dense_features(spark, d):
+    """All templates along the sequences, those of vectors too, added up per sentence."""
+    def add(total, state, step, _best):
+        def sums(found):
+            dense = F.transform(fe.dense_features(an.TEMPLATES, found["at"]), lambda x, j: x * (j + 1))
+            ids = F.aggregate(found["ids"], F.lit(0), lambda a, i: a + i)
+            return F.struct(
+                (total["n_active"] + F.size(found["ids"])).alias("n_active"), (total["id_sum"] + ids * step).alias("id_sum"),
+                (total["dense_sum"] + F.aggregate(dense, F.lit(0.0), lambda a, x: a + x).cast("bigint") * step).alias("dense_sum"),
+            )
+
+        return tr.let(fe.sparse_features(state=state), sums)
+
+    sents = _given_vectors(vw.tangled(vw.treebank(spark, d))).where("n > 1")
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(k) for k in ("n_active", "id_sum", "dense_sum")])
+    return gold.over_states(sents, zero, add).select("sent_id", "total.*")
+
+
+@query
+def perceptron_scores(spark, d):
+    """Outputs of a given perceptron over all templates along the sequences, added up per sentence."""
+    inputs, hidden = fe.feature_count() + 28, 4
+    layers = [
+        Layer([[((7 * i + 3 * k) % 11 - 5) / 64 for k in range(hidden)] for i in range(inputs)], [k / 8 for k in range(hidden)]),
+        Layer([[((5 * k + m) % 7 - 3) / 4 for m in range(3)] for k in range(hidden)], [m / 16 for m in range(3)]),
+    ]
+    names = ["out_1", "out_2", "out_3"]
+
+    def add(total, state, _step, _best):
+        out = tn.layer_scorer(layers)(state)
+        return tr.let(out, lambda x: F.struct(*[(total[k] + F.get(x, F.lit(m))).alias(k) for m, k in enumerate(names)]))
+
+    sents = _given_vectors(vw.tangled(vw.treebank(spark, d))).where("n > 1")
+    rows = gold.over_states(sents, F.struct(*[F.lit(0.0).alias(k) for k in names]), add)
+    return rows.select("sent_id", *[F.round(f"total.{k}", 4).alias(k) for k in names])
+
+
 def _cross_trained(spark, d):
     """Sound sentences and training rows in two folds by document, and for each fold the model of the other."""
     fold = F.coalesce(F.pmod(F.col("doc_id"), F.lit(2)), F.lit(0)).cast("int").alias("fold")
@@ -733,6 +783,37 @@ def beam_step(spark, d):
     return bm.beam_step(states, scorer, beam=BEAM).select("sent_id", "slot", "parent", "move", "score")
 
 
+def _rule_scores(state: Column) -> Column:
+    """Scores of all moves by a rule of move, words in focus, tags and stack."""
+    size = F.size(state["stack"])
+    tag = lambda at: F.coalesce(F.get("upos", at - 1), F.lit(0))
+    rest = 17 * tag(F.get(state["stack"], size - 1)) + 7 * tag(state["wptr"]) + 13 * F.col("n") + 5 * size
+    moves = F.sequence(F.lit(1), F.lit(tr.move_count(tr.DEFAULT_SYSTEM)))
+    return F.transform(moves, lambda m: ((31 * m + rest) % 101).cast("double"))
+
+
+@query
+def beam_parse(spark, d):
+    """Parse of the whole treebank with a beam, under given scores."""
+    sents = vw.treebank(spark, d).select("sent_id", "n", "upos")
+    return bm.parse_beam(sents, _rule_scores, beam=BEAM).select(
+        "sent_id", "score", tx.joined(F.col("heads")).alias("heads"), tx.joined(F.col("deprels")).alias("deprels")
+    )
+
+
+@query
+def beam_search_loss(spark, d):
+    """Loss of the beam search for the gold trees, under given scores that lean to the gold moves."""
+    def scores(state):
+        summary = tr.cost_summary(tr.DEFAULT_SYSTEM, state, F.col("heads"), F.col("deprels"), F.col("n"))
+        costs = tr.let(summary, lambda s: tr.move_costs(tr.DEFAULT_SYSTEM, s))
+        return F.zip_with(costs, _rule_scores(state), lambda c, s: (s % 37 - 20 * c) / 8)
+
+    sents = vw.treebank(spark, d).select("sent_id", "n", "upos", "heads", "deprels")
+    out = bm.beam_losses(tb.sound(sents), scores, beam=BEAM)
+    return out.select("sent_id", "steps", "early_stop", F.round("loss", 6).alias("loss"))
+
+
 @query
 def parse_corpus(spark, d):
     """Parse the whole treebank, each fold by the model of the other: words by language, and whether the score beats

@@ -37,12 +37,15 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vo.document_word_counts(documents(spark, sf_dir))
 
 
-def treebank(spark: SparkSession, sf_dir: str) -> DataFrame:
+def treebank(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
     """Every line as one or more sentences of at most 26 words, with made-up syntax.
 
     ``sent_id, doc_id, lang, source, n, forms, upos, heads, deprels``. Built inside the document's
-    row: no words are left out and nothing is shuffled.
+    row: no words are left out and nothing is shuffled. ``in_order`` sorts the documents first, so sentences stand by id.
     """
+    docs = documents(spark, sf_dir)
+    if in_order:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").orderBy("doc_id")
     size = SENTENCE_WORDS
 
     def cut(words: Column) -> Column:
@@ -54,7 +57,7 @@ def treebank(spark: SparkSession, sf_dir: str) -> DataFrame:
         return let(split_words(line), cut)
 
     parts = F.flatten(F.transform(F.split("text", "\n"), chunks))
-    sents = documents(spark, sf_dir).select(
+    sents = docs.select(
         "doc_id", "lang", "source", F.posexplode(parts).alias("pos", "forms")
     )
     sents = sents.select(

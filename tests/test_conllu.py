@@ -101,6 +101,38 @@ def test_sink_mismatches_are_errors(spark):
             co.rewrite_lines(lines, bad).collect()
 
 
+def test_lines_out_of_order_are_an_error(spark):
+    same = "\n".join(word(t, "a", "DET", "0", "root") for t in (1, 2))
+    swapped = "\n".join(word(t, "a", "DET", "0", "root") for t in (2, 1))
+    guess = spark.createDataFrame([(1, ["a", "a"], [2, 0], [28, 1])], "sent_id long, forms array<string>, heads array<int>, deprels array<int>")
+    blocks = lambda text: spark.createDataFrame([(1, text)], "sent_id long, block string")
+    assert co.rewrite_blocks(blocks(same), guess).first().block.split("\n")[0] == word(1, "a", "DET", "2", "nsubj")
+    with pytest.raises(Exception, match="out of order"):
+        co.rewrite_blocks(blocks(swapped), guess).collect()
+    with pytest.raises(Exception, match="prediction without a word line"):
+        co.rewrite_blocks(blocks(same), guess.union(guess.selectExpr("2L", "forms", "heads", "deprels"))).collect()
+    with pytest.raises(Exception, match="word line without a prediction"):
+        co.rewrite_blocks(blocks(same), guess.limit(0)).collect()
+    assert co.rewrite_blocks(blocks("# only a comment"), guess.limit(0)).first().block == "# only a comment"
+
+
+def test_splits_inside_a_file_keep_the_numbers(spark, tmp_path):
+    text = "".join(f"# s{i}\n" + word(1, f"w{i}", "X", "0", "root") + "\n\n" for i in range(300)) + word(1, "open", "X", "0", "root") + "\n"
+    for name in ("a.conllu", "b.conllu"):
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+    try:
+        for tail, each in ((False, 300), (True, 301)):
+            rows = co.read_conllu(spark, str(tmp_path), keep_tail=tail).orderBy("sent_id").collect()
+            assert [r.sent_id for r in rows] == list(range(1, 2 * each + 1))
+            assert [r.forms[0] for r in rows[: each - 1]] == [f"w{i}" for i in range(each - 1)]
+            old = co.number_blocks(co.sentence_blocks(spark, str(tmp_path), tail)).orderBy("sent_id").collect()
+            assert [(r.sent_id, r.block) for r in old] == [(r.sent_id, r.block) for r in co.placed_blocks(spark, str(tmp_path), tail).orderBy("sent_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_long_and_nested_forms(spark, sentences):
     sents = sentences([2, 0, 2], [0])
     back = co.nested_rows(co.token_rows(sents)).orderBy("sent_id").collect()

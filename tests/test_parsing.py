@@ -139,6 +139,118 @@ def test_perceptron(sentences):
     assert tn.move_accuracy(rows, model).first().n_rows == rows.count()
 
 
+def integer_scores(state):
+    """A rule of move, words in focus, tags and stack."""
+    size = F.size(state["stack"])
+    tag = lambda at: F.coalesce(F.get("upos", at - 1), F.lit(0))
+    rest = 17 * tag(F.get(state["stack"], size - 1)) + 7 * tag(state["wptr"]) + 13 * F.col("n") + 5 * size
+    return F.transform(F.sequence(F.lit(1), F.lit(tr.move_count(tr.DEFAULT_SYSTEM))), lambda m: ((31 * m + rest) % 101).cast("double"))
+
+
+def as_rows(parses):
+    return {r.sent_id: (r.heads, r.deprels, pytest.approx(r.score)) for r in parses.collect()}
+
+
+@pytest.mark.parametrize("beam", [2, 4])
+def test_beam_inside_the_row_equals_the_loop(sentences, beam):
+    plain = sentences([0], *random_trees(12, seed=3)).select("sent_id", "n", "upos")
+    looped = bm.parse(plain, lambda states: states.withColumn("scores", integer_scores(F.col("state"))), beam=beam)
+    assert as_rows(bm.parse_beam(plain, integer_scores, beam=beam)) == as_rows(looped)
+
+
+def test_beam_of_one_is_the_greedy_parse(sentences):
+    plain = sentences(*random_trees(15)).select("sent_id", "n", "upos")
+    assert as_rows(bm.parse_beam(plain, integer_scores, beam=1)) == as_rows(bm.parse_rows(plain, integer_scores))
+    assert bm.parse_beam(plain.limit(0), integer_scores).count() == 0
+
+
+def vectors_of(sents, dim=3):
+    vec = lambda k: F.transform("upos", lambda t, i: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda d: ((t * d + i * k) % 7).cast("float")))
+    return sents.withColumns({"wvec": vec(1), "fvec": vec(2), "bvec": vec(3)})
+
+
+@pytest.mark.parametrize("estimator", ["logistic", "perceptron"])
+def test_dense_templates_inside_the_row_equal_the_loop(sentences, estimator):
+    sents = vectors_of(sentences(*random_trees(25)))
+    rows = tn.training_rows(sents)
+    model = tn.train_moves(rows, estimator=estimator, max_iter=4, hidden=(5,))
+    plain = sents.select("sent_id", "n", "upos", *fe.VECTORS)
+    looped = bm.parse(plain.limit(8), tn.model_scorer(model))
+    assert as_rows(bm.parse_rows(plain.limit(8), tn.row_scorer(model))) == as_rows(looped)
+    # the same scores state by state
+    states = gold.gold_states(sents)
+    both = tn.model_scorer(model)(states).withColumn("own", tn.row_scorer(model)(F.col("state")))
+    gap = F.aggregate(F.zip_with("scores", "own", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: F.greatest(a, x))
+    assert both.agg(F.max(gap)).first()[0] < 1e-6
+
+
+def test_beam_losses_equal_the_candidates(spark, sentences):
+    """A search of one step has the loss that the candidate table gives."""
+    sents = sentences([2, 0], [0, 1], ([2, 0], [5, 1])).select("sent_id", "n", "upos", "heads", "deprels")
+    start = bm.start_states(sents)
+    rows = start.withColumn("s", integer_scores(F.col("state")))
+    summary = tr.cost_summary(tr.DEFAULT_SYSTEM, F.col("state"), F.col("heads"), F.col("deprels"), F.col("n"))
+    rows = rows.withColumn("c", tr.let(summary, lambda x: tr.move_costs(tr.DEFAULT_SYSTEM, x))).withColumn("ok", tr.legal_moves(tr.DEFAULT_SYSTEM, F.col("state"), F.col("n")))
+    moves = rows.select("sent_id", "ok", F.posexplode(F.arrays_zip("s", "c")).alias("i", "x"))
+    cands = moves.where(tr.is_legal(tr.DEFAULT_SYSTEM, F.col("i") + 1, F.col("ok"))).select(
+        "sent_id", F.lit(1).alias("parent"), (F.col("i") + 1).alias("move"), F.col("x.s").alias("score"), F.lit(0).alias("parent_cost"),
+        F.col("x.c").alias("move_cost"), F.lit(False).alias("is_final"),
+    )
+    want = {r.sent_id: r for r in ca.beam_loss(cands, 4).collect() if r.early_stop}
+    got = {r.sent_id: r for r in bm.beam_losses(sents, integer_scores).collect()}
+    assert want and all(got[k].early_stop and got[k].steps == 1 and got[k].loss == pytest.approx(r.loss) for k, r in want.items())
+
+
+def gold_led(weight):
+    """Scores that lead along the gold path more or less strongly."""
+
+    def scores(state):
+        summary = tr.cost_summary(tr.DEFAULT_SYSTEM, state, F.col("heads"), F.col("deprels"), F.col("n"))
+        costs = tr.let(summary, lambda s: tr.move_costs(tr.DEFAULT_SYSTEM, s))
+        return F.zip_with(costs, integer_scores(state), lambda c, s: (s % 37 - weight * c) / 8)
+
+    return scores
+
+
+def test_gold_path_stays_or_leaves_the_beam(sentences):
+    sents = sentences([0], *random_trees(20)).select("sent_id", "n", "upos", "heads", "deprels")
+    held = {r.sent_id: r for r in bm.beam_losses(sents, gold_led(400)).collect()}
+    assert not any(r.early_stop for r in held.values())
+    assert all(r.steps == 2 * r.n - 2 and r.loss >= 0 for r in held.values())
+    assert held[1].loss == 0.0 and held[1].steps == 0
+    lost = {r.sent_id: r for r in bm.beam_losses(sents, gold_led(0), beam=1).collect()}
+    assert sum(r.early_stop for r in lost.values()) > 10
+    assert all(r.loss > 0 and r.steps < 2 * r.n - 2 for r in lost.values() if r.early_stop)
+    best = as_rows(bm.parse_beam(sents, gold_led(400)))
+    for r in sents.collect():
+        assert best[r.sent_id][0] == r.heads and best[r.sent_id][1] == r.deprels
+
+
+def test_epochs_start_from_the_last_weights_and_keep_the_best_model(sentences):
+    sents = sentences(*random_trees(30)).select("sent_id", "n", "upos", "heads", "deprels")
+    rows = tn.training_rows(sents)
+    models = []
+
+    def score(model):
+        models.append(model)
+        return [0.1, 0.3, 0.2, 0.5, 0.5, 0.4][len(models) - 1]
+
+    best, curve = tn.train_epochs(rows, score, 5, max_iter=3)
+    assert len(models) == 6 and best is models[3]
+    assert [(r.epoch, r.best_epoch) for r in curve.orderBy("epoch").collect()] == [(0, 0), (1, 1), (2, 1), (3, 3), (4, 3), (5, 3)]
+    # training goes on where it stopped: more of the moves are right
+    rights = [tn.move_accuracy(rows, m).first().accuracy for m in (models[0], models[1], models[5])]
+    assert rights[0] < rights[1] < rights[2]
+
+
+def test_training_stops_after_the_best_epoch(sentences):
+    rows = tn.training_rows(sentences(*random_trees(5)), templates=["s0p"])
+    tries = []
+    tn.train_epochs(rows, lambda m: tries.append(m) or -abs(len(tries) - 3), 9, templates=["s0p"], max_iter=1, patience=1)
+    # best at epoch 2; the first epoch with 1 < best < epoch - 1 is the fourth
+    assert len(tries) == 5
+
+
 def test_distinct_states(sentences):
     states = gold.gold_states(sentences([2, 0], [2, 0], [0, 1]).select("sent_id", "n", "heads", "deprels"))
     rows = bm.distinct_states(states).collect()
