@@ -8,14 +8,22 @@ its own folders, so results stay exact after a restart.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections import Counter
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbolex.operators.batching import BATCH, slots
+from arbolex.operators.batching import BATCH, SEED, slots
 from arbolex.operators.numbering import number_rows
 from arbolex.operators.series import running_loss
 from arbolex.session import materialize
-from arbolex.streaming.text import drain
+from arbolex.streaming.source import drain_triggers, stream_line_counts
+from arbolex.streaming.text import drain, stream_tokens
+
+#: lengths that must have a full batch, or the buckets are refilled
+READY = 10
 
 BATCH_ROW = "epoch_in bigint, file string, start bigint, nth bigint, line string, words array<string>, seq_len int"
 CARRY_ROW = "series string, k0 bigint, avg0 double"
@@ -61,6 +69,92 @@ def stream_batches(tokens: DataFrame, path: str, size: int = BATCH) -> DataFrame
     return tokens.sparkSession.read.parquet(f"{path}/batches")
 
 
+def draw_plan(sizes: dict[int, int], drawn: int, forced: bool, size: int, ready: int, seed: int, last: bool) -> list[int]:
+    """The lengths that are drawn one after the other from buckets of the given sizes.
+
+    While at least ``ready`` lengths have a full batch one of those is drawn, by a hash of the draw's number; below that
+    the buckets are refilled first, so a plan made after a refill (``forced``) draws once all the same. When nothing more
+    comes (``last``) the draws go on to the last full batch. Only the sizes by length are needed, a bounded number.
+    """
+    sizes, out = dict(sizes), []
+    while True:
+        full = sorted(length for length, n in sizes.items() if n >= size)
+        if not full or not (len(full) >= ready or last or (forced and not out)):
+            return out
+        pick = full[int(hashlib.md5(f"{drawn + len(out)}:{seed}".encode()).hexdigest()[:8], 16) % len(full)]
+        sizes[pick] -= size
+        out.append(pick)
+
+
+WAITING = "epoch_in bigint, file string, line_no bigint, line string, words array<string>, seq_len int"
+DRAWN = "seq_len int, take bigint, draw bigint"
+
+
+def _draw(waiting: DataFrame, path: str, epoch: int, size: int, ready: int, seed: int, last: bool) -> None:
+    """Draw batches from what waits and write them, what is left, and the number of draws so far, for ``epoch``."""
+    spark = waiting.sparkSession
+    rows = materialize(number_rows(waiting, ["epoch_in", "file", "line_no"], by=["seq_len"], name="_rn"), "arrived")
+    sizes = {r["seq_len"]: r["n"] for r in rows.groupBy("seq_len").agg(F.max("_rn").alias("n")).collect()}
+    before = spark.read.schema("draws bigint").parquet(f"{path}/draws/{epoch - 1}").first()["draws"] if epoch else 0
+    plan = draw_plan(sizes, before, epoch > 0, size, ready, seed, last)
+    taken: Counter[int] = Counter()
+    drawn = []
+    for k, length in enumerate(plan):
+        drawn.append((length, taken[length], before + k))
+        taken[length] += 1
+    draws = F.broadcast(spark.createDataFrame(drawn, DRAWN))  # no more than the sequences of a trigger by the batch size
+    number, slot = slots(F.col("_rn"), size)
+    rows = rows.withColumn("take", number).withColumn("slot", slot).join(draws, ["seq_len", "take"], "left")
+    full = F.col("draw").isNotNull()
+    rows.where(full).select("draw", "seq_len", "slot", "line", "words").write.mode("overwrite").parquet(f"{path}/batches/epoch={epoch}")
+    rows.where(~full).select(*waiting.columns).write.mode("overwrite").parquet(f"{path}/waiting/{epoch}")
+    spark.createDataFrame([(before + len(plan),)], "draws bigint").write.mode("overwrite").parquet(f"{path}/draws/{epoch}")
+
+
+def refill_writer(path: str, size: int = BATCH, ready: int = READY, seed: int = SEED):
+    """Batches drawn from length buckets that each micro-batch refills, see :func:`draw_plan`.
+
+    The buckets are a table per epoch, with the lines in order of arrival, so a length that holds most of the stream is
+    spread like any other rows. A repeated epoch replaces itself.
+    """
+
+    def write(df: DataFrame, epoch: int) -> None:
+        fresh = df.select(
+            F.lit(epoch).cast("bigint").alias("epoch_in"), "file", "line_no", "line", "words", (F.col("n") + 2).cast("int").alias("seq_len")
+        )
+        if epoch > 0:
+            fresh = df.sparkSession.read.schema(WAITING).parquet(f"{path}/waiting/{epoch - 1}").unionByName(fresh)
+        _draw(fresh, path, epoch, size, ready, seed, last=False)
+
+    return write
+
+
+def stream_draws(
+    spark: SparkSession, folder: str, path: str, intake: Sequence[int], longest: int | None = None, size: int = BATCH,
+    ready: int = READY, seed: int = SEED,
+) -> tuple[DataFrame, DataFrame]:
+    """Run the refill rule over the lines of a folder: (``draw, seq_len, slot, line, words``, what is left).
+
+    ``intake`` is the number of lines of the first, second ... refill. When the lines are used up the remaining full
+    batches are drawn; fewer than ``size`` lines of a length are left.
+    """
+    lines = stream_line_counts(spark, folder, intake, f"{path}/checkpoint", longest)
+    seen: list[int] = []
+    write = refill_writer(path, size, ready, seed)
+
+    def noted(df: DataFrame, epoch: int) -> None:
+        write(df, epoch)
+        seen.append(epoch)
+
+    drain_triggers(stream_tokens(lines), f"{path}/checkpoint", noted)
+    if seen:
+        _draw(spark.read.schema(WAITING).parquet(f"{path}/waiting/{seen[-1]}"), path, seen[-1] + 1, size, ready, seed, last=True)
+        left = spark.read.schema(WAITING).parquet(f"{path}/waiting/{seen[-1] + 1}")
+        return spark.read.parquet(f"{path}/batches"), left
+    empty = spark.createDataFrame([], "draw bigint, seq_len int, slot int, line string, words array<string>")
+    return empty, spark.createDataFrame([], WAITING)
+
+
 def loss_writer(path: str, warm: int, decay: float):
     """Running loss that goes on where the epoch before ended."""
 

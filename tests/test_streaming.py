@@ -1,7 +1,11 @@
+import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from arbolex.operators import series as se
+from arbolex.streaming import source as sr
 from arbolex.streaming import state as ss
 from arbolex.streaming import text as stx
 from tests.test_models import plain_running
@@ -52,3 +56,114 @@ def test_streamed_counts_and_tokens(spark, tmp_path):
     counts = {r.word: r.n for r in stx.word_count_table(lines).collect()}
     assert counts == {"x": 2, "y": 3, "z": 1}
     assert sorted(r.n for r in stx.tokens_table(lines).collect()) == [1, 2, 3]
+
+
+def files(folder, **texts):
+    for name, lines in texts.items():
+        (folder / f"{name}.txt").write_text("\n".join(lines))
+
+
+def collector(sizes, rows):
+    def write(df, epoch):
+        got = df.collect()
+        sizes[epoch] = len(got)
+        rows.extend((r.file.rsplit("/", 1)[-1], r.line_no, r.line) for r in got)
+
+    return write
+
+
+def test_triggers_take_lines_by_count_and_go_on_inside_a_file(spark, tmp_path):
+    folder, check = tmp_path / "in", str(tmp_path / "check")
+    folder.mkdir()
+    texts = {"a": [f"a é {i}" for i in range(1_250)], "b": [f"b {i}" for i in range(400)]}
+    files(folder, **texts)
+    sizes, rows = {}, []
+
+    def go_on():
+        sr.drain_triggers(sr.stream_line_counts(spark, str(folder), [1000, 100, 300], check), check, collector(sizes, rows))
+
+    go_on()
+    assert sizes == {0: 1000, 1: 100, 2: 300, 3: 250}
+    files(folder, c=["c"] * 650)
+    texts["c"] = ["c"] * 650
+    go_on()  # a new query with the old checkpoint
+    assert [sizes[e] for e in (4, 5, 6)] == [300, 300, 50]
+    assert sorted(rows) == sorted((f"{name}.txt", i, line) for name, lines in texts.items() for i, line in enumerate(lines, 1))
+
+
+def test_a_stopped_query_loses_and_repeats_nothing(spark, tmp_path):
+    folder, check = tmp_path / "in", str(tmp_path / "check")
+    folder.mkdir()
+    files(folder, a=[f"{i}" for i in range(900)])
+    sizes, rows, fail = {}, [], [2]
+    keep = collector(sizes, rows)
+
+    def write(df, epoch):
+        if epoch in fail:
+            fail.remove(epoch)
+            raise RuntimeError("lost")
+        keep(df, epoch)
+
+    lines = lambda: sr.stream_line_counts(spark, str(folder), [200], check)
+    with pytest.raises(Exception, match="lost"):
+        sr.drain_triggers(lines(), check, write)
+    sr.drain_triggers(lines(), check, write)
+    assert sizes == {0: 200, 1: 200, 2: 200, 3: 200, 4: 100}
+    assert [r[2] for r in sorted(rows, key=lambda r: r[1])] == [str(i) for i in range(900)]
+
+
+def test_long_lines_are_passed_over_and_not_counted(spark, tmp_path, monkeypatch):
+    folder, check = tmp_path / "in", str(tmp_path / "check")
+    folder.mkdir()
+    files(folder, a=["x y z"] * 5 + ["x"] * 20 + [""] * 3)
+    sizes, rows = {}, []
+    sr.drain_triggers(sr.stream_line_counts(spark, str(folder), [10], check, longest=2), check, collector(sizes, rows))
+    assert sizes == {0: 10, 1: 10, 2: 3 - 1}  # a line feed at the very end opens no line
+    assert {r[1] for r in rows} == set(range(6, 28))
+
+
+def replay(lines, intake, size, ready, seed=4):
+    """Batches by draw and leftovers, one line after the other."""
+    buckets, draws, epoch, at = {}, [], 0, 0
+
+    def draw(full):
+        pick = full[int(hashlib.md5(f"{len(draws)}:{seed}".encode()).hexdigest()[:8], 16) % len(full)]
+        draws.append([buckets[pick].pop(0) for _ in range(size)])
+
+    def full():
+        return sorted(n for n, b in buckets.items() if len(b) >= size)
+
+    while at < len(lines):
+        n = intake[min(epoch, len(intake) - 1)]
+        for line in lines[at : at + n]:
+            buckets.setdefault(len(line.split()) + 2, []).append(line)
+        at += n
+        if epoch and full():
+            draw(full())
+        while len(full()) >= ready:
+            draw(full())
+        epoch += 1
+    while full():
+        draw(full())
+    return draws, sorted(x for b in buckets.values() for x in b)
+
+
+def test_draws_equal_a_replay(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [f"{i}" + " w" * ((i * i + i // 7) % 9) for i in range(400)]
+    files(folder, a=lines[:150], b=lines[150:])
+    batches, left = ss.stream_draws(spark, str(folder), str(tmp_path / "state"), [120, 20, 60], size=4, ready=6)
+    want, rest = replay(lines, [120, 20, 60], 4, 6)
+    got = {}
+    for r in batches.collect():
+        assert len(r.words) + 2 == r.seq_len
+        got.setdefault(r.draw, {})[r.slot] = r.line
+    assert [[got[d][s] for s in range(4)] for d in range(len(want))] == want and len(got) == len(want)
+    assert sorted(r.line for r in left.collect()) == rest
+
+
+def test_draws_of_an_empty_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    batches, left = ss.stream_draws(spark, str(tmp_path / "in"), str(tmp_path / "state"), [10])
+    assert batches.count() == 0 and left.count() == 0
