@@ -14,7 +14,7 @@ the buckets' sums, so a source that holds a third of all rows is no single task;
 
 Defined results. A null text has no words; a document without words is taken with 0. The null source is a source of
 its own, the last. Rows that share an id are documents of their own next to each other in the shuffled order; rows
-equal in id and size may share what is taken either way. An empty table gives an empty result. Other columns are not
+equal in id and size may share what is taken either way. Rows without id stand anywhere in that order. An empty table gives an empty result. Other columns are not
 read.
 """
 
@@ -124,12 +124,20 @@ def laid_out(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mixed(
     documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block: int = BLOCK, seed: str = "mix",
-    with_source: bool = False,
+    row: str | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document; the mix has as many words as all documents."""
-    sizes = documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sizes = sizes.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-    sizes = materialize(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    """doc_id, size, source_size, target, taken of every document; the mix has as many words as all documents.
+
+    ``row`` names a column that tells the rows apart; it is returned too, and needed to find the rows again where ids
+    are null or repeated.
+    """
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    sizes = documents.select(
+        "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), number.alias("row")
+    )
+    # rows without id are told apart by their number, so that they fall into many buckets
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("row"), F.col("row").cast("string")))
+    sizes = materialize(sizes.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), name))), "sizes")
     targets = materialize(source_targets(sizes, weights, repeats), "targets")
     slots = schedule(targets, block)
     # slot r of n takes the words [r * words / n, (r + 1) * words / n) of the source's endlessly repeated line
@@ -158,6 +166,6 @@ def mixed(
     )
     with_target = same_source(sizes, F.broadcast(targets) if targets.count() <= 10_000 else targets)
     return with_target.join(got, "row", "left").select(
-        "doc_id", *(["source"] if with_source else []), "size", "source_size", "target",
+        "doc_id", *([F.col("row").alias(row)] if row else []), "size", "source_size", "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
     )

@@ -55,6 +55,24 @@ def test_mix_repeats_documents(spark, documents):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_rows_without_id_and_of_one_id_each_have_their_share(spark, documents):
+    null = [(None, "some words here " * (1 + i % 7), "x", "a", None) for i in range(1_000)]
+    same = [(7, "again " * (1 + i % 5), "x", "b", None) for i in range(1_000)]
+    rest = [(i, "w " * 50, "x", "c", None) for i in range(40)]
+    docs = spark.createDataFrame(null + same + rest, documents.schema)
+    targets = {r.source: (r.target, r.words) for r in mixed(docs.withColumn("n", F.monotonically_increasing_id()), row="n")
+               .join(docs.withColumn("n", F.monotonically_increasing_id()).select("n", "source"), "n")
+               .groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("words")).collect()}
+    assert all(abs(words - target) <= 1 for target, words in targets.values())
+    out = corpus_pipeline.mix(spark, docs, FOLDER)
+    words = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " +"))).alias("n")).collect()}
+    for source, (target, _) in targets.items():
+        assert abs(words[source] - target) < 0.03 * target
+    # nulls are spread: no bucket holds more than its share
+    sizes = docs.where("doc_id is null").select("doc_id", "source", "text")
+    assert mixed(sizes).count() == 1_000
+
+
 def test_run_applies_all_stages(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
