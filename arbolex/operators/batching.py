@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arbolex.functions import arrays as ar
 from arbolex.functions import text as tx
 from arbolex.operators.encoding import in_order
+from arbolex.operators.joins import HOT_KEYS, hot_join
 from arbolex.operators.numbering import number_rows
 
 BATCH = 25
@@ -65,6 +66,13 @@ def shuffled_batches(batches: DataFrame, seed: int = SEED) -> DataFrame:
     return number_rows(drawn, ["_draw", "batch_no"], name="position").drop("_draw")
 
 
+def scheduled_batches(batches: DataFrame, seed: int = SEED) -> DataFrame:
+    """Full batches of the length buckets in seeded random order: ``seq_len, batch_no, n_sent, position``."""
+    sizes = batches.groupBy("seq_len", "batch_no").agg(F.count(F.lit(1)).alias("n_sent"))
+    drawn = sizes.withColumn("_draw", seeded(F.concat_ws(":", "seq_len", "batch_no"), seed))
+    return number_rows(drawn, ["_draw", "seq_len", "batch_no"], name="position").drop("_draw")
+
+
 def corpus_batches(sents: DataFrame, size: int = CORPUS_BATCH) -> DataFrame:
     """Consecutive chunks in corpus order with the longest length: adds ``batch_no, slot, max_n``.
 
@@ -119,6 +127,43 @@ def pad_char_batch(batches: DataFrame) -> DataFrame:
     )
 
 
+def step_words(batches: DataFrame, spelled: DataFrame) -> DataFrame:
+    """The words that a batch has at each time step: ``seq_len, batch_no, step, words``, by slot.
+
+    ``batches`` are full length batches with ``seq`` (see ``encode_dual``), ``spelled`` has the ``char_ids`` of every input
+    id, each word spelled once. Frequent words reach their places by broadcast; a group is one batch.
+    """
+    cells = batches.select("seq_len", "batch_no", "slot", F.posexplode("seq.in_id").alias("pos", "id"))
+    hot = spelled.where(F.col("id") <= HOT_KEYS).select("id")
+    rows = hot_join(cells, spelled.select("id", "char_ids"), ["id"], hot, how="inner")
+    steps = rows.groupBy("seq_len", "batch_no", "pos").agg(in_order("char_ids", by="slot").alias("words"))
+    return steps.select("seq_len", "batch_no", (F.col("pos") + 1).alias("step"), "words")
+
+
+def _marked(words: Column) -> Column:
+    return F.transform(words, lambda w: ar.bracketed(w, tx.SOW_ID, tx.EOW_ID))
+
+
+def pad_char_steps(steps: DataFrame) -> DataFrame:
+    """The words of each time step left-padded to its longest one: ``width``, and ``padded`` and ``mask`` by slot.
+
+    Words are marked; the mask follows the padding, so an unknown character keeps 1 though its id is the padding id.
+    """
+    width = F.array_max(F.transform("words", lambda w: F.size(w))) + 2
+    out = steps.withColumn("width", width).withColumn("_w", _marked(F.col("words")))
+    padded = F.transform("_w", lambda w: ar.pad_left(w, F.col("width"), tx.PAD_ID))
+    return out.withColumn("padded", padded).withColumn("mask", F.transform("_w", lambda w: ar.mask_left(w, F.col("width")))).drop("_w")
+
+
+def concat_char_steps(steps: DataFrame, longest: int) -> DataFrame:
+    """One character row per time step: its words right-padded to ``longest`` characters one after the other (``ids, mask``)."""
+    width = F.lit(longest + 2)
+    marked = _marked(F.col("words"))
+    return steps.withColumn("ids", F.flatten(F.transform(marked, lambda w: ar.pad_right(w, width, tx.PAD_ID)))).withColumn(
+        "mask", F.flatten(F.transform(marked, lambda w: ar.mask_right(w, width)))
+    )
+
+
 def longest_word(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.max(F.length("word")).alias("longest"))
 

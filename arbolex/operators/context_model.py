@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbolex.functions import text as tx
+from arbolex.operators.batching import scheduled_batches
 from arbolex.operators.joins import hot_join, hottest, if_small
 from arbolex.session import materialize
 
@@ -120,6 +121,21 @@ def sentence_logprob(tokens_scored: DataFrame) -> DataFrame:
     )
 
 
+def batch_losses(batches: DataFrame, scored: DataFrame, series: str = "train") -> DataFrame:
+    """Loss of every batch in the order of the schedule: ``series, ord, loss, seq_len, batch_no``.
+
+    ``batches`` has the sentences of full length batches, ``scored`` their ``sum_logp`` and ``n``, see
+    :func:`sentence_logprob`. The loss is minus the mean log-probability of the batch's words; the rows are what
+    ``series.running_loss`` reads.
+    """
+    order = scheduled_batches(batches).drop("n_sent")
+    sums = batches.select("seq_len", "batch_no", "sent_id").join(scored.select("sent_id", "n", "sum_logp"), "sent_id")
+    means = sums.groupBy("seq_len", "batch_no").agg((-F.sum("sum_logp") / F.sum("n")).alias("loss"))
+    return means.join(order, ["seq_len", "batch_no"]).select(
+        F.lit(series).alias("series"), F.col("position").alias("ord"), "loss", "seq_len", "batch_no"
+    )
+
+
 def perplexity_macro(batches: DataFrame) -> DataFrame:
     """Exp of the mean of batch means; rows are sentences with ``seq_len, batch_no, n, sum_logp``."""
     means = batches.groupBy("seq_len", "batch_no").agg((F.sum("sum_logp") / F.sum("n")).alias("m"))

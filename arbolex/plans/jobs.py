@@ -17,6 +17,7 @@ from arbolex.operators import context_model as cm
 from arbolex.operators import encoding as en
 from arbolex.operators import features as fe
 from arbolex.operators import scores as sc
+from arbolex.operators import series as se
 from arbolex.operators import training as tn
 from arbolex.operators import treebank as tb
 from arbolex.operators import vectors as ve
@@ -48,7 +49,8 @@ def vocabulary_job(spark: SparkSession, text: str, out: str, size: int = vo.TOP_
 def language_model_job(
     spark: SparkSession, train: str, vocab_path: str, test: str | None = None, upper: int | None = 28
 ) -> dict[str, DataFrame]:
-    """Batch tables of a training text and the context counts over it; perplexity of a test text.
+    """Batch tables of a training text (words and characters of each time step), the context counts over it and the loss
+    of every batch in the order it is drawn, with its running average; perplexity of a test text.
 
     Sentences longer than ``upper - 2`` words are left out of training as the batching does.
     """
@@ -57,9 +59,19 @@ def language_model_job(
     kept = sents if upper is None else vo.length_filter(sents, upper)
     counts = vo.word_counts(vo.tokens(kept).select("word"))
     every_word = materialize(vo.vocab_ids(vo.ranked_words(counts)), "vocabulary")
-    batches = ba.length_batches(en.encode_dual(kept, vocab, every_word))
-    tri = materialize(cm.trigram_counts(cm.contexts(kept.select("sent_id", "words", "n"), vocab)), "trigrams")
-    out = {"batches": ba.time_major(batches, "seq"), "counts": cm.context_counts(tri)}
+    batches = materialize(ba.length_batches(en.encode_dual(kept, vocab, every_word)), "batches")
+    ctx = cm.contexts(kept.select("sent_id", "words", "n"), vocab)
+    tri = materialize(cm.trigram_counts(ctx), "trigrams")
+    scored = materialize(cm.trigram_logprob(tri, tri, vocab.count()), "scored")
+    losses = materialize(cm.batch_losses(batches, cm.sentence_logprob(cm.token_logprob(ctx, scored))), "losses")
+    running = se.running_loss(losses.select("series", "ord", "loss")).select("ord", "avg_loss")
+    spelled = en.char_ids(every_word, st.load_vocabularies(spark, vocab_path)["char_vocab"])
+    out = {
+        "batches": ba.time_major(batches, "seq"),
+        "char_batches": ba.pad_char_steps(ba.step_words(batches, materialize(spelled, "spelled"))),
+        "counts": cm.context_counts(tri),
+        "losses": losses.join(running, "ord"),
+    }
     if test is not None:
         target = text_sentences(spark, test).select("sent_id", "words", "n")
         out["perplexity"] = text_perplexity(target, tri, vocab)

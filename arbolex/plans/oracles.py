@@ -541,6 +541,33 @@ sql(
          || array_to_string(char_ids, ' ') || ' 3' AS ids, len + 2 AS mask_sum FROM spelled""",
     "spelled",
 )
+# the words of every batch and time step, marks and unknown words spelled out like others
+_STEPS = """steps AS (
+      SELECT b.seq_len, b.batch_no, d.tok_id + 1 AS step, b.slot, s.chars, len(s.chars) AS len
+      FROM batched b JOIN dual d USING (sent_id) JOIN (
+        SELECT v.id, list(coalesce(c.id, 1) ORDER BY v.pos) AS chars FROM (
+          SELECT id, unnest(string_split(word, '')) AS ch, unnest(range(1, length(word) + 1)) AS pos FROM allv) v
+        LEFT JOIN chars c ON v.ch = c.ch GROUP BY v.id) s ON d.in_id = s.id)"""
+sql(
+    "pad_char_steps",
+    """SELECT seq_len, batch_no, step, any_value(longest) + 2 AS width, CAST(sum(len + 2) AS BIGINT) AS mask_sum,
+         md5(string_agg(repeat('1 ', longest - len) || '2 ' || array_to_string(chars, ' ') || ' 3', ' ' ORDER BY slot)) AS ids_md5
+       FROM (SELECT *, max(len) OVER (PARTITION BY seq_len, batch_no, step) AS longest FROM steps) GROUP BY seq_len, batch_no, step""",
+    "dual",
+    "allv",
+    "chars",
+    extra=_BUCKETS + ",\n" + _STEPS,
+)
+sql(
+    "concat_char_steps",
+    """SELECT seq_len, batch_no, step, 25 * (m + 2) AS width, CAST(sum(len + 2) AS BIGINT) AS mask_sum,
+         md5(string_agg('2 ' || array_to_string(chars, ' ') || ' 3' || repeat(' 1', m - len), ' ' ORDER BY slot)) AS ids_md5
+       FROM steps, (SELECT max(length(word)) AS m FROM allv) GROUP BY seq_len, batch_no, step, m""",
+    "dual",
+    "allv",
+    "chars",
+    extra=_BUCKETS + ",\n" + _STEPS,
+)
 sql(
     "pad_vocab_right",
     """SELECT id, chr(18) || word || chr(19) || repeat(chr(17), (SELECT max(length(word)) FROM allv) - length(word)) AS key
@@ -591,6 +618,24 @@ sql(
 )
 
 
+sql(
+    "batch_losses",
+    """SELECT k AS ord, seq_len, batch_no, round(loss, 5) AS loss, round(avg_loss, 5) AS avg_loss FROM averaged""",
+    "logprob",
+    extra=_BUCKETS
+    + """,
+    means AS MATERIALIZED (
+      SELECT seq_len, batch_no, -avg(logp) AS loss, row_number() OVER (ORDER BY md5(concat(seq_len, ':', batch_no, ':4'))) AS k
+      FROM batched JOIN logprob USING (sent_id) GROUP BY seq_len, batch_no),
+    averaged AS (
+      SELECT k, seq_len, batch_no, loss, loss AS avg_loss FROM means WHERE k = 1
+      UNION ALL
+      SELECT m.k, m.seq_len, m.batch_no, m.loss,
+             CASE WHEN m.k < 100 THEN (a.avg_loss * (m.k - 1) + m.loss) / m.k ELSE 0.99::DOUBLE * a.avg_loss + (1 - 0.99::DOUBLE) * m.loss END
+      FROM averaged a JOIN means m ON m.k = a.k + 1)""",
+)
+
+
 def _side(side: str, frame: str) -> str:
     return ", ".join(
         f"round(coalesce(avg({v}) OVER (w ROWS BETWEEN {frame}), 0), 6) AS {side}_{name}"

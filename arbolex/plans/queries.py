@@ -471,6 +471,37 @@ def pad_char_batch(spark, d):
     )
 
 
+def _char_steps(spark, d):
+    """Vocabulary, and the spelled words of every batch and time step."""
+    out_vocab, in_vocab = _vocabularies(spark, d)
+    spelled = materialize(en.char_ids(in_vocab, vo.char_vocab(vo.ranked_words(vw.word_counts(spark, d)))), "spelled")
+    batches = ba.length_batches(en.encode_dual(vw.sentences(spark, d), out_vocab, in_vocab))
+    return in_vocab, ba.step_words(batches, spelled)
+
+
+def _total(masks: Column) -> Column:
+    return F.aggregate(masks, F.lit(0).cast("bigint"), lambda a, m: a + m.cast("bigint"))
+
+
+@query
+def pad_char_steps(spark, d):
+    """Character batches of every time step, padded to the longest word of the step."""
+    out = ba.pad_char_steps(_char_steps(spark, d)[1])
+    return out.select(
+        "seq_len", "batch_no", "step", "width", digest(F.flatten("padded")).alias("ids_md5"), _total(F.flatten("mask")).alias("mask_sum")
+    )
+
+
+@query
+def concat_char_steps(spark, d):
+    """Character rows of every time step, words padded to the longest of the vocabulary."""
+    vocab, steps = _char_steps(spark, d)
+    out = ba.concat_char_steps(steps, ba.longest_word(vocab).first()[0] or 0)
+    return out.select(
+        "seq_len", "batch_no", "step", F.size("ids").alias("width"), digest(F.col("ids")).alias("ids_md5"), _total(F.col("mask")).alias("mask_sum")
+    )
+
+
 @query
 def pad_vocab_right(spark, d):
     return ba.pad_vocab_right(vo.vocab_ids(vo.ranked_words(vw.word_counts(spark, d))))
@@ -545,6 +576,20 @@ def perplexity_macro(spark, d):
     return cm.perplexity_macro(ba.length_batches(per_sent)).withColumn("perplexity", F.round("perplexity", 6))
 
 
+@query
+def batch_losses(spark, d):
+    """Loss of every length batch in the order it is drawn, each fold by the counts of the other, and its running average."""
+    sents, vocab = _folds(spark, d)
+    ctx, scored = cm.cross_fitted(sents, vocab)
+    sums = cm.sentence_logprob(cm.token_logprob(ctx, materialize(scored, "scored"), ["fold"]))
+    batches = ba.length_batches(sents.where("n > 0").select("sent_id", (F.col("n") + 2).alias("seq_len")))
+    losses = materialize(cm.batch_losses(materialize(batches, "batches"), sums), "losses")
+    running = se.running_loss(losses.select("series", "ord", "loss")).select("ord", "avg_loss")
+    return losses.join(running, "ord").select(
+        "ord", "seq_len", "batch_no", F.round("loss", 5).alias("loss"), F.round("avg_loss", 5).alias("avg_loss")
+    )
+
+
 @query
 def word_vectors(spark, d):
     vocab = vo.top_vocab(materialize(vw.word_counts(spark, d), "counts"))

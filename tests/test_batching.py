@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from arbolex.operators import batching as ba
+from arbolex.operators import context_model as cm
 from arbolex.operators import encoding as en
 from arbolex.operators import vocabulary as vo
 
@@ -73,3 +74,33 @@ def test_encode_decode_identity(spark):
     assert [r.ids[0].in_id for r in major.orderBy("step").collect()] == [
         p.in_id for p in encoded.where("sent_id = 1").first().seq
     ]
+
+
+def test_words_of_a_time_step_are_padded_to_its_longest(spark):
+    seq = lambda *ids: [(0, i) for i in ids]
+    batches = spark.createDataFrame(
+        [(4, 0, 0, seq(1, 5, 6, 2)), (4, 0, 1, seq(1, 6, 7, 2)), (4, 1, 0, seq(1, 5, 5, 2)), (4, 1, 1, seq(1, 5, 5, 2))],
+        "seq_len int, batch_no long, slot int, seq array<struct<out_id:int,in_id:long>>",
+    )
+    spelled = spark.createDataFrame(
+        [(1, [9]), (2, [9, 9]), (5, [4]), (6, [5, 6, 7]), (7, [1, 8])], "id long, char_ids array<int>"
+    )
+    steps = ba.step_words(batches, spelled)
+    rows = {(r.batch_no, r.step): r for r in ba.pad_char_steps(steps).collect()}
+    assert len(rows) == 8
+    assert (rows[0, 2].width, rows[0, 2].padded) == (5, [[1, 1, 2, 4, 3], [2, 5, 6, 7, 3]])
+    assert rows[0, 2].mask == [[0, 0, 1, 1, 1], [1] * 5]
+    # an unknown character has the padding's id but counts
+    assert rows[0, 3].padded[1] == [1, 2, 1, 8, 3] and rows[0, 3].mask[1] == [0, 1, 1, 1, 1]
+    assert rows[1, 2].width == 3
+    whole = {(r.batch_no, r.step): r for r in ba.concat_char_steps(steps, 3).collect()}
+    assert whole[0, 2]["ids"] == [2, 4, 3, 1, 1, 2, 5, 6, 7, 3] and whole[0, 2]["mask"] == [1, 1, 1, 0, 0, 1, 1, 1, 1, 1]
+
+
+def test_losses_follow_the_schedule(spark):
+    batches = spark.createDataFrame([(n, b, 10 * n + b) for n in (3, 4) for b in range(4)], "seq_len int, batch_no long, sent_id long")
+    order = {(r.seq_len, r.batch_no): r.position for r in ba.scheduled_batches(batches).collect()}
+    assert sorted(order.values()) == list(range(1, 9)) and order != {k: i for i, k in enumerate(sorted(order), 1)}
+    scored = spark.createDataFrame([(r.sent_id, 2, -float(r.sent_id)) for r in batches.collect()], "sent_id long, n int, sum_logp double")
+    for r in cm.batch_losses(batches, scored).collect():
+        assert r["ord"] == order[r.seq_len, r.batch_no] and r.loss == (10 * r.seq_len + r.batch_no) / 2
