@@ -142,8 +142,16 @@ def perplexity_macro(batches: DataFrame) -> DataFrame:
     return means.agg(F.count(F.lit(1)).alias("n_batches"), F.exp(-F.avg("m")).alias("perplexity"))
 
 
-def cross_fitted(sents: DataFrame, vocab: DataFrame, extra: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Tokens in context and distinct scored rows when each fold is scored by the other's counts."""
+def cross_fitted(
+    sents: DataFrame, vocab: DataFrame, extra: Sequence[str] = (), keep_tokens: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Tokens in context and distinct scored rows when each fold is scored by the other's counts.
+
+    With ``keep_tokens`` the tokens are written as ids: they are counted and then joined with their scores, and not
+    tokenised and looked up anew for each.
+    """
     ctx = contexts(sents.select("sent_id", "words", "n", "fold", *extra), vocab)
+    if keep_tokens:
+        ctx = materialize(ctx, "contexts")
     tri = materialize(trigram_counts(ctx, ["fold"]), "trigrams")
     return ctx, trigram_logprob(tri, other_fold(tri), vocab.count(), ["fold"])

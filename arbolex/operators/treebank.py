@@ -118,11 +118,15 @@ def valency(tokens: DataFrame) -> DataFrame:
 def vector_sums(tokens: DataFrame, label_vectors: DataFrame) -> DataFrame:
     """Element-wise sums of the label vectors of all left and right dependents of each head.
 
-    ``label_vectors`` (``deprel, vec``) has one row per label and is bounded by the label table;
-    labels travel through the shuffle, vectors are looked up afterwards.
+    ``label_vectors`` (``deprel, vec``) has one row per label; rows of other numbers are left alone, so no more than one row
+    per label reaches the driver, and two rows of a label are an error. Labels travel through the shuffle, vectors are
+    looked up afterwards.
     """
-    rows = {r["deprel"]: r["vec"] for r in label_vectors.collect()}
-    dim = len(next(iter(rows.values())))
+    known = label_vectors.where(F.col("deprel").between(1, N_DEPREL)).limit(N_DEPREL + 1).collect()
+    rows = {r["deprel"]: r["vec"] for r in known}
+    if len(rows) < len(known):
+        raise ValueError("a label has more than one vector")
+    dim = max(map(len, rows.values()), default=0)
     zero = [0.0] * dim
     table = F.array(*[F.array(*[F.lit(float(x)) for x in rows.get(i, zero)]) for i in range(1, N_DEPREL + 1)])
     lists = dependents(tokens, "deprel")

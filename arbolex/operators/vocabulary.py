@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arbolex.functions import text as tx
 from arbolex.operators.numbering import number_rows, number_small
+from arbolex.session import materialize
 
 TOP_N = 1000
 
@@ -39,8 +40,13 @@ def sorted_counts(counts: DataFrame) -> DataFrame:
 
 
 def top_n(counts: DataFrame, size: int = TOP_N) -> DataFrame:
-    """``word, n, rank`` of the most frequent words, ties by word; numbered by a distributed sort for every size."""
-    return number_rows(counts, [F.col("n").desc(), F.col("word")], name="rank").where(F.col("rank") <= size)
+    """``word, n, rank`` of the ``size`` most frequent words, ties by word.
+
+    Each task keeps its own best ``size`` rows, and only those meet; the rank is a number over ``size`` rows at most.
+    """
+    order = [F.col("n").desc(), F.col("word")]
+    best = counts.orderBy(*order).limit(size)
+    return number_small(best, order, "rank").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def top_vocab(counts: DataFrame, size: int = TOP_N) -> DataFrame:
@@ -51,7 +57,8 @@ def top_vocab(counts: DataFrame, size: int = TOP_N) -> DataFrame:
     merged = counts.groupBy(tx.cut(F.col("word"), tx.VOCAB_WORD_LIMIT).alias("word")).agg(F.sum("n").alias("n"))
     words = top_n(merged.where(~F.col("word").isin(tx.SOS, tx.EOS, tx.UNK)), size)
     ids = words.select("word", (F.col("rank") + tx.N_RESERVED).alias("id"))
-    return ids.unionByName(reserved_words(counts.sparkSession))
+    # written, since look-ups read it more than once and must not count the words again
+    return materialize(ids.unionByName(reserved_words(counts.sparkSession)), "top-words")
 
 
 def reserved_words(spark) -> DataFrame:

@@ -259,6 +259,14 @@ sql(
     "chars",
 )
 
+sql(
+    "vocab_contents",
+    f"""SELECT 'word_vocab' AS part, id, word AS item FROM topv UNION ALL SELECT 'char_vocab', id, ch FROM chars
+       UNION ALL SELECT 'tags', i, {_TAGS}[i] FROM range(1, 18) r(i) UNION ALL SELECT 'labels', i, {_LABELS}[i] FROM range(1, 38) r(i)""",
+    "topv",
+    "chars",
+)
+
 # ---- projections and filters
 
 sql("tokenize", "SELECT sent_id, tok_id, word FROM toks", "toks")

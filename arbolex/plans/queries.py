@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from arbolex.functions import anchors as an
 from arbolex.functions import text as tx
 from arbolex.functions import transitions as tr
+from arbolex.functions.labels import deprel_dim, upos_dim
 from arbolex.functions.layers import Layer
 from arbolex.functions.arrays import mask_sum
 from arbolex.operators import batching as ba
@@ -127,6 +128,20 @@ def vocab_roundtrip(spark, d):
     return out
 
 
+@query
+def vocab_contents(spark, d):
+    """Every entry of the saved vocabularies and tables as it is read back: ``part, id, item``."""
+    counts = materialize(vw.word_counts(spark, d), "counts")
+    path = new_path(spark, "vocabularies")
+    st.save_vocabularies(path, vo.top_vocab(counts), vo.char_vocab(vo.ranked_words(counts)), upos_dim(spark), deprel_dim(spark))
+    back = st.load_vocabularies(spark, path)
+    out = None
+    for part, item in (("word_vocab", "word"), ("char_vocab", "ch"), ("tags", "tag"), ("labels", "label")):
+        rows = back[part].select(F.lit(part).alias("part"), F.col("id").cast("bigint").alias("id"), F.col(item).alias("item"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---- projections and filters
 
 
@@ -552,7 +567,7 @@ def token_logprob(spark, d):
 
 @query
 def perplexity(spark, d):
-    _, scored = cm.cross_fitted(*_folds(spark, d))
+    _, scored = cm.cross_fitted(*_folds(spark, d), keep_tokens=False)
     return cm.perplexity(scored).withColumn("perplexity", F.round("perplexity", 6))
 
 

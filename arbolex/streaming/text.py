@@ -61,9 +61,44 @@ def stream_word_counts(lines: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def word_count_table(lines: DataFrame, path: str | None = None) -> DataFrame:
-    """Changed counts of each micro-batch as a table, read back as the newest count per word."""
+#: epochs after which the changed counts are merged into one table
+COMPACT = 16
+COUNT_ROW = "word string, n bigint"
+
+
+def newest_counts(spark: SparkSession, path: str, upto: int, every: int = COMPACT) -> DataFrame:
+    """Newest count per word up to an epoch: the last merged table and the changes since; counts only grow."""
+    merged = (upto + 1) // every * every - 1
+    changes = spark.read.schema(f"{COUNT_ROW}, epoch int").parquet(f"{path}/changes")
+    rows = changes.where(F.col("epoch").between(merged + 1, upto)).select("word", "n")
+    if merged >= 0:
+        rows = rows.unionByName(spark.read.schema(COUNT_ROW).parquet(f"{path}/merged/{merged}"))
+    return rows.groupBy("word").agg(F.max("n").alias("n"))
+
+
+def count_writer(path: str, every: int = COMPACT):
+    """Write the changed counts of each micro-batch, and every so often a merged table of all words.
+
+    A reader so takes one merged table and less than ``every`` epochs of changes, however long the stream is. A repeated
+    epoch replaces its own folders.
+    """
+
+    def write(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        df.select("word", "n").write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
+        if (epoch + 1) % every == 0:
+            before = newest_counts(spark, path, epoch - 1, every)
+            fresh = spark.read.schema(COUNT_ROW).parquet(f"{path}/changes/epoch={epoch}")
+            rows = before.unionByName(fresh).groupBy("word").agg(F.max("n").alias("n"))
+            rows.write.mode("overwrite").parquet(f"{path}/merged/{epoch}")
+
+    return write
+
+
+def word_count_table(lines: DataFrame, path: str | None = None, every: int = COMPACT) -> DataFrame:
+    """Running counts of a stream as a table: the newest count per word."""
     spark = lines.sparkSession
     path = path or new_path(spark, "stream-counts")
-    drain(stream_word_counts(lines), f"{path}-checkpoint", epoch_writer(path), mode="update")
-    return spark.read.parquet(path).groupBy("word").agg(F.max_by("n", "epoch").alias("n"))
+    drain(stream_word_counts(lines), f"{path}-checkpoint", count_writer(path, every), mode="update")
+    last = spark.read.schema(f"{COUNT_ROW}, epoch int").parquet(f"{path}/changes").agg(F.max("epoch")).first()[0]
+    return newest_counts(spark, path, last if last is not None else 0, every)

@@ -158,3 +158,13 @@ def test_vector_sums(spark, sentences):
     vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 38)], "deprel int, vec array<double>")
     row = tb.vector_sums(tokens, vecs).first()
     assert (row.left_sum, row.right_sum) == ([2.0, 1.0], [6.0, 2.0])
+
+
+def test_vectors_of_other_numbers_are_left_alone(spark, sentences):
+    tokens = co.token_rows(sentences(([2, 0, 2, 2], [2, 1, 3, 3])))
+    rows = [(i, [float(i), 1.0]) for i in range(1, 38)] + [(i, [0.0, 0.0]) for i in range(38, 500)] + [(0, [1.0, 1.0])]
+    vecs = spark.createDataFrame(rows, "deprel int, vec array<double>")
+    row = tb.vector_sums(tokens, vecs).first()
+    assert (row.left_sum, row.right_sum) == ([2.0, 1.0], [6.0, 2.0])
+    with pytest.raises(ValueError):
+        tb.vector_sums(tokens, vecs.union(vecs.where("deprel = 3")))

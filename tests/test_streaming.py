@@ -167,3 +167,17 @@ def test_draws_of_an_empty_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     batches, left = ss.stream_draws(spark, str(tmp_path / "in"), str(tmp_path / "state"), [10])
     assert batches.count() == 0 and left.count() == 0
+
+
+def test_counts_are_merged_every_so_many_epochs(spark, tmp_path):
+    folder, path = tmp_path / "in", str(tmp_path / "counts")
+    folder.mkdir()
+    want = Counter()
+    for part in range(5):
+        lines = [" ".join(f"w{(part * i) % 7}" for i in range(9)), f"only{part}"]
+        want.update(" ".join(lines).split())
+        arrive(folder, f"{part}.txt", lines)
+        stream = stx.stream_lines(spark, str(folder), 1)
+        assert {r.word: r.n for r in stx.word_count_table(stream, path, every=2).collect()} == want
+    merged = sorted(p.name for p in (tmp_path / "counts" / "merged").iterdir())
+    assert merged == ["1", "3"]
