@@ -1,28 +1,40 @@
 """Exact top-k search by a vector-approximation file.
 
-Each vector is kept twice: as one cell number per component and as its exact whole numbers. A search scans the cell
-numbers, which bound every score from both sides, drops what cannot reach the k-th best lower bound, and reads exact
-vectors in the order of their upper bounds until the k-th score found is at least the next bound. Each task does so
-for its blocks of the file; the best of every task are merged.
+The file holds one cell number per component, a byte, and nothing else; cells are equal parts between the smallest and
+the largest value that the component takes anywhere. The cells of a vector bound its score from both sides.
 
-Cells are 16 equal parts between the smallest and the largest value that a component takes anywhere. Queries are
-dealt by a hash to blocks of about ``QUERY_BLOCK``, and one block is broadcast at a time, so its size does not grow.
+A first pass scans the cells for the k-th best lower bound of every query over the whole file, a second one for the vectors
+whose upper bound reaches it. Only of those are exact vectors read, by a join on the row, and scored; the k-th result is
+then certain, since nothing else can reach it. Of equal vectors no more than the ``2 k`` rows of the smallest ids take part
+as candidates (and ``k`` of one id), which is all that ties by id can ask for, so a vector that many rows share brings no
+more survivors than any other.
+
+Queries and file meet in a grid: the file's blocks are dealt to parts of about ``FILE_PART`` blocks, the queries' to parts of
+about ``QUERY_PART``, and each pair of parts is one group. Sizes of groups are fixed, so the number of jobs doesn't depend on
+the number of queries and no task holds more than two parts.
 
 Defined results. Vectors that are null, or hold null or a non-finite component, take no part; nor does a row without
 id. Only vectors of equal length are compared, empty ones score 0. Ties go to the smaller id. An id that several rows
-have stands for each of them, but no row is a neighbour of its own id. Other columns are not read.
+have stands for each of them, but no row is a neighbour of its own id. Scores are 64-bit; one that leaves them is an
+error. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbolex.llm.lookups import looked_up
 from arbolex.session import materialize
 
-CELLS, QUERY_BLOCK, ROWS_BLOCK = 16, 4096, 4096
+#: cells of a component; vectors and queries in a block; blocks of the file and of queries that meet in one group
+CELLS, ROWS_BLOCK, QUERY_BLOCK, FILE_PART, QUERY_PART = 256, 4096, 256, 32, 16
+Ends = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -50,30 +62,35 @@ def cell_bounds(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {dim: tuple(np.array(x, float).T) for dim, x in found.items()}
 
 
-FILE_ROW = "dim int, ids binary, cells binary, exact binary"
+def candidates(rows: DataFrame, k: int) -> DataFrame:
+    """Of rows with equal vectors those that can be among the k best of some query, by their ids."""
+    of_id = Window.partitionBy("v", "vec_id").orderBy("row")
+    of_vector = Window.partitionBy("v").orderBy("vec_id", "row")
+    few = rows.withColumn("_n", F.row_number().over(of_id)).where(F.col("_n") <= k)
+    return few.withColumn("_n", F.row_number().over(of_vector)).where(F.col("_n") <= 2 * k).drop("_n")
 
 
-def approximation_file(rows: DataFrame, bounds: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Blocks of at most ``ROWS_BLOCK`` vectors of one length: ids, cell numbers (one byte each), exact values."""
+def blocks(rows: DataFrame, size: int, numbers: tuple[str, ...], body: Callable, kind: str) -> DataFrame:
+    """Rows of equal ``dim`` packed into blocks: ``block, dim``, the columns of ``numbers`` as bytes, ``data`` from ``body``."""
 
-    def build(batches):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 part = batch.take(pa.array(at))
-                exact = part.column("v").flatten().to_numpy().reshape(len(at), dim)
-                ids = part.column("vec_id").to_numpy()
-                for lo in range(0, len(at), ROWS_BLOCK):
-                    block = exact[lo : lo + ROWS_BLOCK]
-                    cells = cell_numbers(block, bounds[int(dim)]) if dim else np.empty((len(block), 0), np.uint8)
-                    values = (int(dim), ids[lo : lo + ROWS_BLOCK].tobytes(), cells.tobytes(), block.astype(np.int64).tobytes())
-                    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x], t) for x, t in zip(values, types, strict=True)], ["dim", "ids", "cells", "exact"]
-                    )
+                vectors = part.column("v").flatten().to_numpy().reshape(len(at), dim)
+                held = [part.column(c).to_numpy() for c in numbers]
+                for lo in range(0, len(at), size):
+                    some = slice(lo, lo + size)
+                    values = [number, int(dim), *(x[some].tobytes() for x in held), body(vectors[some], int(dim)).tobytes()]
+                    types = [pa.int64(), pa.int32(), *[pa.binary()] * (len(numbers) + 1)]
+                    number += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], names)
 
-    return materialize(rows.mapInArrow(build, FILE_ROW), "vafile")
+    names = ["block", "dim", *numbers, kind]
+    return rows.select("dim", "v", *numbers).mapInArrow(build, f"block long, dim int, {', '.join(f'{c} binary' for c in names[2:])}")
 
 
 def cell_numbers(block: np.ndarray, ends: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -86,91 +103,94 @@ def cell_limits(cells: np.ndarray, ends: tuple[np.ndarray, np.ndarray]) -> tuple
     """Least and greatest whole value in each cell, one unit wider than its edges against rounding."""
     low, high = ends
     width = (high - low) / CELLS + (high == low)
+    cells = cells.astype(float)
     return np.floor(low + cells * width) - 1, np.ceil(low + (cells + 1) * width) + 1
 
 
-def search_block(queries, query_ids, ids, cells, exact, ends, k) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and scores of its k best rows of a block."""
-    if queries.shape[1]:
-        least, most = cell_limits(cells, ends)
-        up, down = np.maximum(queries, 0.0), np.minimum(queries, 0.0)
-        upper = up @ most.T + down @ least.T
-        lower = up @ least.T + down @ most.T
-    else:
-        upper = lower = np.zeros((len(queries), len(ids)))
-    own = query_ids[:, None] == ids[None, :]
-    upper[own] = lower[own] = -np.inf
-    floor = np.partition(lower, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(queries), -np.inf)
-    out = []
-    for q in range(len(queries)):
-        near = np.flatnonzero((upper[q] >= floor[q]) & ~own[q])
-        near = near[np.argsort(-upper[q, near], kind="stable")]
-        best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-        for lo in range(0, len(near), 4 * k):
-            if len(best) >= k and best[-1] > upper[q, near[lo]]:
-                break  # no later row can reach the k-th score, not even to tie
-            some = near[lo : lo + 4 * k]
-            best = np.concatenate([best, exact[some] @ queries[q].astype(np.int64)])
-            best_ids = np.concatenate([best_ids, ids[some]])
-            order = np.lexsort((best_ids, -best))[:k]
-            best, best_ids = best[order], best_ids[order]
-        out.append((best_ids, best))
-    return out
+def score_bounds(queries: np.ndarray, cells: np.ndarray, ends: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) of the scores of all queries (rows) and vectors (columns), one unit wider against rounding."""
+    if not queries.shape[1]:
+        none = np.zeros((len(queries), len(cells)))
+        return none, none
+    least, most = cell_limits(cells, ends)
+    up, down = np.maximum(queries, 0.0), np.minimum(queries, 0.0)
+    lower, upper = up @ least.T + down @ most.T, up @ most.T + down @ least.T
+    slack = 1 + 1e-9 * np.maximum(np.abs(lower), np.abs(upper))
+    return lower - slack, upper + slack
+
+
+def meetings(file: pa.Table, asked: pa.Table, ends: Ends) -> Iterator[tuple]:
+    """(query block, file block, lower, upper) of two parts, with minus infinity at the query's own id."""
+    for q in asked.to_pylist():
+        dim = q["dim"]
+        queries = np.frombuffer(q["vectors"], float).reshape(-1, dim) if dim else np.empty((len(q["query"]) // 8, 0))
+        numbers, own = np.frombuffer(q["query"], np.int64), np.frombuffer(q["vec_id"], np.int64)
+        for dim_of, rows, ids, cells in zip(*(file.column(c) for c in ("dim", "row", "vec_id", "cells")), strict=True):
+            if dim_of.as_py() != dim:
+                continue
+            ids = np.frombuffer(ids.as_buffer(), np.int64)
+            cells = np.frombuffer(cells.as_buffer(), np.uint8).reshape(len(ids), dim)
+            lower, upper = score_bounds(queries, cells, ends.get(dim))
+            same = own[:, None] == ids[None, :]
+            lower[same] = upper[same] = -np.inf
+            yield q, numbers, own, np.frombuffer(rows.as_buffer(), np.int64), ids, lower, upper
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the highest integer inner product for every query row."""
-    spark = vectors.sparkSession
-    rows = materialize(whole_numbers(vectors, scale), "vectors")
-    bounds = cell_bounds(rows)
-    file = approximation_file(rows, bounds)
-    asked = materialize(rows.where(is_query).select("vec_id", "v", "dim").dropDuplicates(), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    parts = []
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == block).collect()
-        by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for dim in {r.dim for r in own}:
-            some = [r for r in own if r.dim == dim]
-            by_dim[dim] = (np.array([r.vec_id for r in some]), np.array([r.v for r in some], float).reshape(len(some), dim))
-        held = spark.sparkContext.broadcast((by_dim, bounds))
-        # equal ids with unlike vectors are queries of their own, told apart by block, length and place
-        part = file.mapInArrow(_searcher(held, k), "query_id long, query long, vec_id long, score long")
-        parts.append(part.withColumn("block", F.lit(block)))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy("query_id", "query", "block").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rows = materialize(whole_numbers(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    ends = cell_bounds(rows)
+
+    def to_cells(block: np.ndarray, dim: int) -> np.ndarray:
+        return cell_numbers(block, ends[dim]) if dim else np.empty((len(block), 0), np.uint8)
+
+    file = materialize(blocks(candidates(rows, k), ROWS_BLOCK, ("row", "vec_id"), to_cells, "cells"), "vafile")
+    asked = rows.where(is_query).select("vec_id", "v", "dim").dropDuplicates()
+    asked = materialize(asked.withColumn("query", F.monotonically_increasing_id()).withColumn("floor", F.lit(float("-inf"))), "queries")
+
+    def packed(queries: DataFrame) -> DataFrame:
+        return blocks(queries, QUERY_BLOCK, ("query", "vec_id", "floor"), lambda v, _: v.astype(float), "vectors")
+
+    first = materialize(packed(asked), "query-blocks")
+    high, wide = max(1, -(-file.count() // FILE_PART)), max(1, -(-first.count() // QUERY_PART))
+
+    def grid(queries: DataFrame):
+        """The parts of the file and of the queries by cell of the grid."""
+        part = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = file.withColumn("i", part(high)).withColumn("j", each(wide))
+        right = queries.withColumn("j", part(wide)).withColumn("i", each(high))
+        return left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
+
+    def floors(part: pa.Table, queries: pa.Table) -> pa.Table:
+        best: dict[int, list] = {}
+        for _, numbers, _, _, _, lower, _ in meetings(part, queries, ends):
+            held = best.setdefault(int(numbers[0]), [numbers, np.empty((len(numbers), 0))])
+            both = np.concatenate([held[1], lower], axis=1)
+            held[1] = np.partition(both, -k, axis=1)[:, -k:] if both.shape[1] > k else both
+        numbers = np.concatenate([np.empty(0, np.int64), *(np.repeat(n, x.shape[1]) for n, x in best.values())])
+        return pa.table({"query": numbers.astype(np.int64), "low": np.concatenate([np.empty(0), *(x.ravel() for _, x in best.values())])})
+
+    def near(part: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+        for q, numbers, own, at, ids, _, upper in meetings(part, queries, ends):
+            who, which = np.nonzero((upper >= np.frombuffer(q["floor"], float)[:, None]) & np.isfinite(upper))
+            for values, own_values in zip(found, (numbers[who], own[who], at[which], ids[which]), strict=True):
+                values.append(own_values)
+        return pa.table(dict(zip(("query", "query_id", "row", "vec_id"), map(np.concatenate, found), strict=True)))
+
+    lows = grid(first).applyInArrow(floors, "query long, low double")
+    kth = Window.partitionBy("query").orderBy(F.desc("low"))
+    floor = lows.withColumn("_n", F.row_number().over(kth)).where(F.col("_n") <= k).groupBy("query").agg(
+        F.min("low").alias("low"), F.count(F.lit(1)).alias("n")
     )
-
-
-def _searcher(held, k: int):
-    def run(batches):
-        by_dim, bounds = held.value
-        for batch in batches:
-            for dim, ids, cells, exact in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "cells", "exact")), strict=True):
-                if dim not in by_dim:
-                    continue
-                query_ids, queries = by_dim[dim]
-                ids = np.frombuffer(ids, np.int64)
-                cells = np.frombuffer(cells, np.uint8).reshape(len(ids), dim)
-                exact = np.frombuffer(exact, np.int64).reshape(len(ids), dim)
-                for lo in range(0, len(queries), 256):
-                    part = slice(lo, lo + 256)
-                    found = search_block(queries[part], query_ids[part], ids, cells, exact, bounds.get(dim), k)
-                    sizes = [len(x[0]) for x in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(query_ids[part], sizes)),
-                            pa.array(np.repeat(np.arange(lo, lo + len(found)) + (dim << 32), sizes)),
-                            pa.array(np.concatenate([x[0] for x in found]).astype(np.int64)),
-                            pa.array(np.concatenate([x[1] for x in found]).astype(np.int64)),
-                        ],
-                        ["query_id", "query", "vec_id", "score"],
-                    )
-
-    return run
+    # with fewer than k rows in all, every one of them is a result
+    known = asked.drop("floor").join(floor, "query", "left")
+    known = known.withColumn("floor", F.when(F.col("n") == k, F.col("low")).otherwise(float("-inf"))).drop("low", "n")
+    left = materialize(grid(packed(known)).applyInArrow(near, "query long, query_id long, row long, vec_id long"), "survivors")
+    exact = looked_up(left, rows.select("row", F.col("v").alias("x")), "row")
+    exact = exact.join(asked.select("query", F.col("v").alias("y")), "query")
+    score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, p: s + p)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    ranked = exact.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
