@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute
@@ -30,12 +31,16 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbolex.llm.words import give_back
+
 RANKS = "byte_bpe_50k.tiktoken"
-#: words whose ids a task remembers before it starts anew
-REMEMBERED = 300_000
+#: bytes that a worker's remembered words take, but for those of one group, and characters of a word that is remembered
+REMEMBERED, LONGEST = 32 << 20, 64
+#: bytes that a remembered word takes besides its own characters and ids
+ENTRY = 180
 #: bytes of text that are encoded together
-GROUP = 2 << 20
-Encoded = tuple[tuple[int, ...], str]
+GROUP = 1 << 20
+Ids = tuple[int, ...]
 
 
 def byte_characters() -> list[str]:
@@ -103,7 +108,12 @@ class Codec:
         self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(tokens))]
         # a lone space between other characters always opens a cut, so texts can be split there first
         self.odd_space = re.compile(r"\s | (?:\s|\Z)")
-        self.known: dict[str, Encoded] = {}
+        # words in use and, until they are used again, those of the time before; ids are shared objects
+        self.known: dict[str, Ids] = {}
+        self.before: dict[str, Ids] = {}
+        self.held = 0
+        self.numbers = list(range(len(tokens)))
+        self.names = [str(i) for i in self.numbers]
 
     def encode_cuts(self, cuts: list[str]) -> list[list[int]]:
         """The ids of each cut of the pattern."""
@@ -115,34 +125,55 @@ class Codec:
             ids[k] = found
         return ids
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of words, each as it stands after a space."""
-        cuts = [self.cut.findall(" " + word) for word in words]
-        flat = iter(self.encode_cuts(list(chain.from_iterable(cuts))))
-        for word, own in zip(words, cuts, strict=True):
-            ids = tuple(chain.from_iterable([next(flat) for _ in own]))
-            self.known[word] = (ids, " ".join(map(str, ids)))
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """The ids of each text, also joined by spaces. New words of all the texts are encoded in one go."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def remember(self, found: dict[str, Ids]) -> None:
+        """Keep the ids of words; those that were not used lately go when the room is full."""
+        if any(len(word) > LONGEST for word in found):
+            found = {word: ids for word, ids in found.items() if len(word) <= LONGEST}
+        room = ENTRY * len(found) + sum(map(len, found)) + 8 * sum(map(len, found.values()))
+        if self.held + room > REMEMBERED // 2:
+            self.before, self.known, self.held = self.known, {}, 0
+        self.known.update(found)
+        self.held += room
+
+    def ids_of(self, words: set[str]) -> dict[str, Ids]:
+        """The ids of words, each as it stands after a space. New ones are encoded in one go."""
+        known, before, shared = self.known, self.before, self.numbers.__getitem__
+        missing = words.difference(known)
+        found = {word: before[word] for word in missing.intersection(before)}
+        new = list(missing.difference(before))
+        cuts = [self.cut.findall(" " + word) for word in new]
+        flat = self.encode_cuts(list(chain.from_iterable(cuts)))
+        at = 0
+        for word, own in zip(new, cuts, strict=True):
+            n = len(own)
+            ids = flat[at] if n == 1 else chain.from_iterable(flat[at : at + n])
+            found[word] = tuple(map(shared, ids))
+            at += n
+        self.remember(found)
+        found.update([(word, known[word]) for word in words.difference(missing)])
+        return found
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
         words, openings = [], []
         for text in texts:
             first, *rest = [text] if self.odd_space.search(text) else text.split(" ")
             openings.append(self.cut.findall(first))
             words.append(rest)
-        self.learn(list(set(chain.from_iterable(words)).difference(self.known)))
+        known = self.ids_of(set(chain.from_iterable(words)))
         cuts = list(set(chain.from_iterable(openings)))
-        opened, known, out = dict(zip(cuts, self.encode_cuts(cuts), strict=True)), self.known, []
+        opened, out = dict(zip(cuts, self.encode_cuts(cuts), strict=True)), []
         for opening, rest in zip(openings, words, strict=True):
             ids = list(chain.from_iterable([opened[cut] for cut in opening]))
-            parts = [known[word] for word in rest]
-            joined = [" ".join(map(str, ids))] if ids else []
-            ids.extend(chain.from_iterable([p[0] for p in parts]))
-            out.append((ids, " ".join(joined + [p[1] for p in parts])))
+            ids.extend(chain.from_iterable([known[word] for word in rest]))
+            out.append(ids)
         return out
 
+    def joined(self, ids: list[int]) -> str:
+        """Decimal ids joined by one space."""
+        names = self.names
+        return " ".join([names[i] for i in ids])
+
     def decode(self, ids: list[int]) -> bytes:
         table = self.bytes_of
         return b"".join([table[i] for i in ids])
@@ -164,30 +195,41 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode_documents(documents: DataFrame, with_ids: bool = False, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; with ``with_ids`` its ``ids`` and ``decoded`` too.
+def arrow(values: tuple, kind: pa.DataType) -> pa.Array:
+    """A column; a list column from one Arrow array per row."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    bounds = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.concat_arrays(values))
+
+
+def encode_documents(
+    documents: DataFrame, with_ids: bool = False, with_decoded: bool = False, path: str | None = None
+) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, and its ``ids`` and ``decoded`` if asked for.
 
     ``ids_sha256`` is over the decimal ids joined by one space, ``decoded_sha256`` over the bytes that the ids decode to.
     """
     path = path or public_tokenizers.path(RANKS)
     pattern = public_tokenizers.PATTERN
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-    types = [None, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_decoded]
+    types = [None, pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids, *[pa.binary()] * with_decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             for part in groups(batch):
                 rows = []
-                for ids, joined in own.encode([text or "" for text in part.column("text").to_pylist()]):
-                    decoded = own.decode(ids)
-                    row = (len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                    rows.append((*row, ids, decoded) if with_ids else row)
+                for ids in own.encode([text or "" for text in part.column("text").to_pylist()]):
+                    decoded, joined = own.decode(ids), own.joined(ids).encode()
+                    row = (len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                    rows.append((*row, *([pa.array(ids, pa.int32())] if with_ids else []), *([decoded] if with_decoded else [])))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=False))], names
+                    [part.column("doc_id"), *(arrow(c, t) for c, t in zip(columns, types[1:], strict=True))], names
                 )
+        give_back()
 
     kind = dict(documents.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded binary" * with_decoded
     return documents.select(F.col("doc_id"), F.col("text")).mapInArrow(run, schema)

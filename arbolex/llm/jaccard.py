@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbolex.llm.components import components
-from arbolex.llm.words import Texts, mix, slices, weights, windows
+from arbolex.llm.words import Texts, give_back, mix, slices, tidy, weights, windows
 from arbolex.session import materialize
 
 #: shingles in a chunk of sets, and bytes of text for each fragment of the order
-CHUNK, FRAGMENT_BYTES = 1 << 20, 24 << 20
+CHUNK, FRAGMENT_BYTES = 1 << 19, 24 << 20
 #: rounds of comparing with leaders only
 ROUNDS = 2
 MANY = np.uint32(0xFFFFFFFF)
@@ -114,6 +114,8 @@ def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int,
                 base, rows, sizes, grams, held = base + 1, [], [], [], 0
     if rows:
         yield base, pa.Table.from_batches(rows), np.concatenate(sizes), np.concatenate(grams)
+    rows, sizes, grams = [], [], []
+    give_back()
 
 
 def by_fragment(fragment: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -196,8 +198,8 @@ def screened(documents: DataFrame, fragments: int, width: int) -> DataFrame:
         })
 
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    counted = rows.mapInArrow(send, SCREEN_ROW).groupBy("frag").applyInArrow(count, "chunk long, counts binary, head binary")
-    return counted.groupBy("chunk").applyInArrow(gather, "doc_id long, text_hash long, n long, shared long, cid binary")
+    counted = rows.mapInArrow(send, SCREEN_ROW).groupBy("frag").applyInArrow(tidy(count), "chunk long, counts binary, head binary")
+    return counted.groupBy("chunk").applyInArrow(tidy(gather), "doc_id long, text_hash long, n long, shared long, cid binary")
 
 
 CHUNK_ROW = "chunk long, cids binary, sizes binary, tokens binary"
@@ -285,8 +287,8 @@ def segments(documents: DataFrame, chosen: DataFrame, fragments: int, width: int
     )
     packed = materialize(texts.mapInArrow(pack, CHUNK_ROW), "sets")
     counted = packed.select("chunk", "tokens").mapInArrow(send, "frag int, chunk long, tokens binary, counts binary")
-    frequencies = counted.groupBy("frag").applyInArrow(count, "chunk long, frag int, df binary")
-    return packed.groupBy("chunk").cogroup(frequencies.groupBy("chunk")).applyInArrow(build, SEGMENT_ROW)
+    frequencies = counted.groupBy("frag").applyInArrow(tidy(count), "chunk long, frag int, df binary")
+    return packed.groupBy("chunk").cogroup(frequencies.groupBy("chunk")).applyInArrow(tidy(build), SEGMENT_ROW)
 
 
 def overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbolex.llm.quality import pick
+from arbolex.llm.words import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end, kind
@@ -396,7 +397,7 @@ def personal_data(text: Column, tagger: Tagger | None, redact: bool = False) ->
         names = [f.split(" ")[0] for f in FOUND_TYPE.split(", ")]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return F.arrow_udf(run, FOUND_TYPE).asNondeterministic()(text)
+    return F.arrow_udf(tidy(run), FOUND_TYPE).asNondeterministic()(text)
 
 
 def redacted(text: str | None, spans: list[Span]) -> str | None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolex.llm.words import LOWER, SYMBOLS, Texts, byte_set, repeated, slices, windows
+from arbolex.llm.words import LOWER, SYMBOLS, Texts, byte_set, repeated, slices, tidy, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHARES = (
@@ -201,7 +201,7 @@ def rules(text: Column, forest: Forest | None = None) -> Column:
         return pa.StructArray.from_arrays(arrays, names)
 
     # non-deterministic only in name: the planner may then not evaluate it twice
-    return F.arrow_udf(run, VERDICT_TYPE if forest else RULES_TYPE).asNondeterministic()(text)
+    return F.arrow_udf(tidy(run), VERDICT_TYPE if forest else RULES_TYPE).asNondeterministic()(text)
 
 
 def pick(df: DataFrame, rows: int, total: int, *key: Column) -> DataFrame:

@@ -6,7 +6,10 @@ memory of a task follows its longest text and not its number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,31 @@ SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 
 
+def give_back() -> None:
+    """Return freed memory to the system, since Spark keeps a worker, and what it holds, for the tasks after it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def tidy(function: Callable) -> Callable:
+    """The function of one group or batch, or of two, which gives its working memory back when it is done."""
+
+    def one(value):
+        out = function(value)
+        give_back()
+        return out
+
+    def two(left, right):
+        out = function(left, right)
+        give_back()
+        return out
+
+    # Spark counts the arguments of the function that it is given
+    return wraps(function)(one if len(signature(function).parameters) == 1 else two)
+
+
 def byte_set(chars: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(chars)] = True

@@ -304,6 +304,23 @@ def test_top_k_equals_brute_force(spark):
     assert vafile.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_over_many_parts_with_copies_and_repeated_ids(spark, monkeypatch):
+    for name, value in (("ROWS_BLOCK", 16), ("QUERY_BLOCK", 4), ("FILE_PART", 2), ("QUERY_PART", 2)):
+        monkeypatch.setattr(vafile, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-9, 9, 4).tolist()) for i in range(150)]
+    rows += [(1_000 + i % 90, [9, 9, 9, 9]) for i in range(200)]  # a third of all rows, ids up to three times
+    rows += [(50, [8, 8, 8, 8])] * 8 + [(2_000, [])] * 3 + [(2_050, [])]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 50 == 0}:
+        others = sorted((-int(np.dot(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+        want += [(q, rank, i, -score) for rank, (score, i) in enumerate(others, 1)]
+    assert sorted(map(tuple, vafile.top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+    held = vafile.candidates(vafile.whole_numbers(df, 256).withColumn("row", F.monotonically_increasing_id()), 5)
+    assert held.where("v = array(9L, 9L, 9L, 9L)").count() == 10
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -362,7 +379,7 @@ def reference_encoder():
 def test_encoding_equals_the_tiktoken_library(spark, documents, reference_encoder):
     odd = ["  two  spaces ", "tab\t x", " \n", "a\x1cb \x85 c", "it's 12'34's", "<|endoftext|>", "don't  ", "日本語 テスト 👍🏽", "　x ​ y"]
     texts = [t for t in AWKWARD if not t or len(t) < 40_000] + odd + [r.text for r in documents.limit(80).collect()]
-    rows = bpe.encode_documents(make(spark, texts, ids="x"), with_ids=True).collect()
+    rows = bpe.encode_documents(make(spark, texts, ids="x"), with_ids=True, with_decoded=True).collect()
     for r in rows:
         text = texts[r.doc_id] or ""
         want = reference_encoder.encode_ordinary(text)
