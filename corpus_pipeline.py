@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from arbolex.llm.bpe import encode_documents
 from arbolex.llm.jaccard import representatives
-from arbolex.llm.mix import mixed, word_count
+from arbolex.llm.mix import mixed
 from arbolex.llm.pii import fit_tagger, personal_data
 from arbolex.llm.quality import fit_forest, judged
 from arbolex.session import materialize
@@ -56,27 +56,22 @@ def redaction(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Each document as often as the mix takes it, a part of half or more counting as whole. Documents without words go.
 
-    Rows that agree in id, source and number of words share what is taken of them."""
+    Rows are numbered and written once, so each has its own share whatever its id."""
+    rows = docs.select(F.struct(*columns(docs)).alias("_doc"))
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
     shares = (
-        mixed(docs, with_source=True)
+        mixed(rows.select("_doc.doc_id", "_doc.source", "_doc.text", "_row"), row="_row")
         .where("size > 0")
-        .groupBy("doc_id", "source", "size")
-        .agg(F.expr("sum(taken) / count(1)").alias("taken"))
-        .select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_n"),
-                F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"))
+        .select("_row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"))
         .where("_copies > 0")
     )
-    rows = docs.select(F.struct(*columns(docs)).alias("_doc"))
-    rows = rows.withColumn("_size", word_count(F.col("_doc.text")))
-    same = F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & F.col("_doc.source").cast("string").eqNullSafe(F.col("_src"))
-    joined = rows.join(shares, same & (F.col("_size") == F.col("_n")))
-    copies = joined.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    copies = rows.join(shares, "_row").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return copies.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of every document."""
-    return encode_documents(docs, with_ids=True).drop("decoded")
+    return encode_documents(docs, with_ids=True)
 
 
 STAGES = [
