@@ -356,14 +356,14 @@ def train(windows: list[tuple[str, str]], steps: int = 150, batch: int = 48, see
     return tagger
 
 
-def fit_tagger(documents: DataFrame, train_docs: int = 3000) -> Tagger | None:
-    """Train on about ``train_docs`` documents with a digit or at-sign, picked by a hash of the text; at most twice as
-    many windows reach the driver."""
+def fit_tagger(documents: DataFrame, train_docs: int = 3000, per_text: int = 20) -> Tagger | None:
+    """Train on about ``train_docs`` documents with a digit or at-sign, picked by a hash of the text, and ``per_text`` windows
+    of each at most; at most twice as many windows as documents reach the driver."""
     texts = documents.select("text").where(F.col("text").rlike("[0-9@]"))
 
     def cut(batches):
         for batch in batches:
-            rows = [w for t in batch.column("text").to_pylist() for w in training_windows(t)[:20]]
+            rows = [w for t in batch.column("text").to_pylist() for w in training_windows(t)[:per_text]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], pa.string()) for k in range(2)], ["chars", "codes"]
             )

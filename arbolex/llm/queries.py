@@ -18,6 +18,7 @@ from arbolex.llm.pii import find_personal_data
 from arbolex.llm.quality import quality_rules
 from arbolex.llm.sql import LICENSES, MIX, TOP_K, WARC
 from arbolex.llm.spelling import spelling_groups
+from arbolex.llm.sql_jaccard import JACCARD
 from arbolex.llm.sql_merkle import MANIFEST
 from arbolex.llm.sql_spelling import SPELLING
 from arbolex.llm.sql_urls import URLS
@@ -94,6 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
-    "op2_license_scan": LICENSES, "op5_exact_top_k": TOP_K, "op6_warc": WARC, "op8_source_mix": MIX,
+    "op2_license_scan": LICENSES, "op3_ngram_jaccard_join": JACCARD, "op5_exact_top_k": TOP_K, "op6_warc": WARC, "op8_source_mix": MIX,
     "op11_spelling_groups": SPELLING, "op12_merkle_manifest": MANIFEST, "op13_url_filter": URLS,
 }
