@@ -433,12 +433,25 @@ def representatives(documents: DataFrame, width: int = 5) -> DataFrame:
     info, roots = classed(documents, width)
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")
     sets = rooted(info.where("cid is not null").groupBy("cid").agg(F.min(order).alias("first")), roots)
-    kept = sets.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    empty = info.where("cid is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("_all"))
-    kept = kept.withColumn("_all", F.lit(False)).unionByName(empty).distinct()
+    first = sets.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    first = first.withColumn("_chosen", F.lit(True))
+    # one row per id and text: whether it stays, and whether it has to be told from its repetitions
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    keys = info.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("cid").isNull()).alias("empty"))
+    kept = keys.join(first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_chosen"), same, "left")
+    kept = kept.where("empty or _chosen").select(*_key("doc_id", "text_hash"), ((F.col("n") > 1) & ~F.col("empty")).alias("_many"))
+    kept = materialize(kept, "kept")
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_doc"))
-    rows = rows.withColumn("_text_hash", F.xxhash64("_doc.text"))
-    rows = rows.join(kept, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    # repeated rows of one id and text: only the empty ones stay as often as they come
-    once = rows.where("not _all").dropDuplicates(["_id", "_hash"])
-    return once.unionByName(rows.where("_all")).select(*[F.col(f"_doc.`{c}`").alias(c) for c in documents.columns])
+    rows = rows.select("_doc", *_key("_doc.doc_id", F.xxhash64("_doc.text")))
+    names = ["_id", "_null", "_hash"]
+    # the same plan at every size: the texts are dealt once, by id and text
+    single = rows.join(kept.where("not _many").hint("merge"), names)
+    once = rows.join(kept.where("_many").hint("merge"), names).dropDuplicates(names) if kept.where("_many").limit(1).count() else None
+    out = single if once is None else single.unionByName(once)
+    return out.select(*[F.col(f"_doc.`{c}`").alias(c) for c in documents.columns])
+
+
+def _key(doc_id, text_hash) -> list:
+    """Id and hash of a row as columns that are never null."""
+    doc_id, text_hash = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text_hash))
+    return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("_id"), doc_id.isNull().alias("_null"), text_hash.alias("_hash")]
