@@ -6,9 +6,13 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from arbolex.functions import anchors as an
 from arbolex.functions import lockstep as ls
 from arbolex.functions import transitions as tr
+from arbolex.functions.layers import Layer
+from arbolex.operators import features as fe
 from arbolex.operators import gold
+from arbolex.operators import training as tn
 from arbolex.operators import treebank as tb
 from arbolex.plans import views as vw
 
@@ -79,3 +83,24 @@ def test_faults_do_not_compute_the_syntax_again(spark):
     plan = tb.sound(sents)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("transform(forms") == 3
     assert tb.sound(sents).count() == 1
+
+
+@pytest.mark.parametrize("system", tr.SYSTEMS)
+def test_features_follow_the_column_expressions(forests, system):
+    templates = [*an.TEMPLATES, "s0l2p", "s1r2L", "s0lhA", "s0hB", "s2d", "n2p", "n0l2b"]
+    vec = lambda k: F.transform("upos", lambda t, i: F.array(t * k, i % 3, F.lit(k)).cast("array<double>"))
+    sents = forests.withColumns({"wvec": vec(1), "fvec": vec(2), "bvec": vec(3)})
+    rows = fe.transition_features(gold.gold_states(sents, system), templates)
+    want = {(r.sent_id, r.step): (r.move, r.feature_ids, r.dense) for r in rows.collect()}
+    got = {(r.sent_id, r.step): (r.move, r.feature_ids, r.dense) for r in tn.training_rows(sents, system, templates).collect()}
+    assert got == want and len(got) > 500
+    layers = [
+        Layer([[((7 * i + 3 * k) % 11 - 5) / 64 for k in range(3)] for i in range(fe.feature_count() + 36)], [0.5, 0.25, 0.0]),
+        Layer([[0.5, -1.0], [1.0, 0.25], [-0.5, 2.0]], [0.0, 0.125]),
+    ]
+    score = tn.state_scorer(layers)
+    sums = gold.sums_over_states(sents.where("n > 1"), ("a", "b"), lambda now, *_: score(now).T, ("upos", *fe.VECTORS), system, "double")
+    scores = tn.layer_scorer(layers)(F.col("state"))
+    plain = gold.gold_states(sents, system).select("sent_id", scores.alias("s")).groupBy("sent_id").agg(F.sum(F.get("s", F.lit(0))), F.sum(F.get("s", F.lit(1))))
+    plain = {r[0]: pytest.approx((r[1], r[2])) for r in plain.collect()}
+    assert {r.sent_id: tuple(r.total) for r in sums.collect()} == plain
