@@ -10,11 +10,13 @@ from arbolex.functions import anchors as an
 from arbolex.functions import lockstep as ls
 from arbolex.functions import transitions as tr
 from arbolex.functions.layers import Layer
+from arbolex.operators import beam as bm
 from arbolex.operators import features as fe
 from arbolex.operators import gold
 from arbolex.operators import training as tn
 from arbolex.operators import treebank as tb
 from arbolex.plans import views as vw
+from tests.test_parsing import as_rows, gold_led, integer_scores
 
 
 def forest(rng, n):
@@ -104,3 +106,24 @@ def test_features_follow_the_column_expressions(forests, system):
     plain = gold.gold_states(sents, system).select("sent_id", scores.alias("s")).groupBy("sent_id").agg(F.sum(F.get("s", F.lit(0))), F.sum(F.get("s", F.lit(1))))
     plain = {r[0]: pytest.approx((r[1], r[2])) for r in plain.collect()}
     assert {r.sent_id: tuple(r.total) for r in sums.collect()} == plain
+
+
+def block_scores(states):
+    """``integer_scores`` over the arrays."""
+    rest = 17 * states.at("upos", states.at("stack", states["size"])) + 7 * states.at("upos", states["wptr"]) + 13 * states["n"] + 5 * states["size"]
+    return (31 * ls.np.arange(1, tr.move_count(tr.DEFAULT_SYSTEM) + 1) + rest[:, None]) % 101.0
+
+
+@pytest.mark.parametrize("beam", [1, 3, 4])
+def test_beams_in_step_equal_beams_in_the_row(forests, beam):
+    found = bm.parse_blocks(forests, block_scores, beam=beam)
+    assert as_rows(found) == as_rows(bm.parse_beam(forests, integer_scores, beam=beam))
+    assert bm.parse_blocks(forests.limit(0), block_scores).count() == 0
+
+
+@pytest.mark.parametrize("weight", [0, 20, 400])
+def test_losses_in_step_equal_losses_in_the_row(forests, weight):
+    led = lambda states: (block_scores(states) % 37 - weight * states.move_costs()) / 8
+    key = lambda r: (r.sent_id, r.n, r.steps, r.early_stop, pytest.approx(r.loss))
+    got = {r.sent_id: key(r) for r in bm.block_losses(forests, led).collect()}
+    assert got == {r.sent_id: key(r) for r in bm.beam_losses(forests, gold_led(weight)).collect()}
