@@ -127,3 +127,12 @@ def test_losses_in_step_equal_losses_in_the_row(forests, weight):
     key = lambda r: (r.sent_id, r.n, r.steps, r.early_stop, pytest.approx(r.loss))
     got = {r.sent_id: key(r) for r in bm.block_losses(forests, led).collect()}
     assert got == {r.sent_id: key(r) for r in bm.beam_losses(forests, gold_led(weight)).collect()}
+
+
+@pytest.mark.parametrize("system", tr.SYSTEMS)
+def test_packed_states_count_as_the_states_do(spark, forests, system):
+    rows = forests.select("n", "heads", "deprels")
+    rows = rows.union(rows).union(spark.createDataFrame([(260, [0, *range(1, 260)], [1, *[2] * 259])] * 2, rows.schema))
+    copies = lambda states, key: sorted(tuple(r) for r in states.groupBy("n", key).agg(F.sum("copies").alias("c")).select("n", "c").collect())
+    want = gold.gold_states(rows, system).withColumn("copies", F.lit(1))
+    assert copies(gold.packed_states(rows, system), "packed") == copies(want, "state")
