@@ -15,6 +15,8 @@ from arbolex.operators import features as fe
 from arbolex.operators import gold
 from arbolex.operators import training as tn
 from arbolex.operators import treebank as tb
+from arbolex.operators import vectors as ve
+from arbolex.operators import vocabulary as vo
 from arbolex.plans import views as vw
 from tests.test_parsing import as_rows, gold_led, integer_scores
 
@@ -136,3 +138,16 @@ def test_packed_states_count_as_the_states_do(spark, forests, system):
     copies = lambda states, key: sorted(tuple(r) for r in states.groupBy("n", key).agg(F.sum("copies").alias("c")).select("n", "c").collect())
     want = gold.gold_states(rows, system).withColumn("copies", F.lit(1))
     assert copies(gold.packed_states(rows, system), "packed") == copies(want, "state")
+
+
+def test_context_summaries_are_those_of_the_context_vectors(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice(["a", "b", "c", "x", "<unk>"]) for _ in range(n)]) for i, n in enumerate([1, 2, 3, 9, 5000, 20_000])]
+    sents = spark.createDataFrame(rows, "sent_id long, words array<string>").withColumn("n", F.size("words"))
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.5, -1.0]), ("c", [4.0, 8.0]), ("<unk>", [0.25, 0.125])], "word string, vec array<float>")
+    nested = ve.context_vectors(ve.sentence_vectors(vo.tokens(sents), vectors), 2, 2)
+    want = nested.select("sent_id", F.posexplode(F.arrays_zip("fvec", "bvec")).alias("pos", "v"))
+    want = {(r.sent_id, r.pos + 1): (pytest.approx(sum(r.v.fvec)), pytest.approx(r.v.bvec[1])) for r in want.collect()}
+    found = ve.context_summaries(sents, vectors, 2, {"sum": lambda v: v.sum(1), "last": lambda v: v[:, -1]})
+    assert {(r.sent_id, r.tok_id): (r.left_sum, r.right_last) for r in found.collect()} == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
