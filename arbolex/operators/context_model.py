@@ -4,24 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbolex.functions import text as tx
 from arbolex.operators.batching import scheduled_batches
+from arbolex.operators.encoding import bounded
 from arbolex.operators.joins import hot_join, hottest, if_small
 from arbolex.session import materialize
 
 # Weights of the two-sided, left, right and unigram terms, and the smoothing constant.
 W_BOTH, W_LEFT, W_RIGHT, W_WORD, ALPHA = 0.5, 0.15, 0.15, 0.2, 0.1
+# Sentences that are looked up at once.
+SENTENCES = 2_000
 
 
 def contexts(sents: DataFrame, vocab: DataFrame) -> DataFrame:
     """Each token as ids with both neighbours: ``sent_id, tok_id, l, w, r`` plus sentence columns.
 
-    ``vocab`` is a top-N vocabulary; any other word becomes the unknown word. The neighbours are taken from the
-    sentence's array before it is exploded, so no token is shuffled to meet its neighbours.
+    ``vocab`` is a top-N vocabulary; any other word becomes the unknown word. Sentences are looked up and cut into tokens
+    where they are, so no token is shuffled to meet its neighbours.
     """
+    known = bounded(vocab)
+    if known is None:
+        return _joined_contexts(sents, vocab)
+    keep = [c for c in sents.columns if c not in ("words", "n")]
+    kinds, kind = dict(sents.dtypes), dict(vocab.dtypes)["id"]
+    marks = [known.get(mark, tx.UNK_ID) for mark in (tx.SOS, tx.EOS)]
+    sent = sents.sparkSession.sparkContext.broadcast((pa.array(list(known), pa.string()), np.array([*known.values(), tx.UNK_ID], np.int64)))
+    number = pa.int64() if kind == "bigint" else pa.int32()
+
+    def run(batches):
+        words, ids = sent.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, SENTENCES):
+                part = batch.slice(start, SENTENCES)
+                sizes = pc.fill_null(pc.list_value_length(part.column("words")), 0).to_numpy(zero_copy_only=False)
+                found = pc.index_in(part.column("words").flatten(), words)
+                now = ids[pc.fill_null(found, len(ids) - 1).to_numpy(zero_copy_only=False)]
+                ends = np.cumsum(sizes)
+                place = np.arange(len(now)) - np.repeat(ends - sizes, sizes)
+                before, after = np.roll(now, 1), np.roll(now, -1)
+                before[place == 0], after[ends[sizes > 0] - 1] = marks
+                rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                near = [pa.array(x).cast(number) for x in (before, now, after)]
+                columns = [*[part.column(c).take(rows) for c in keep], pa.array((place + 1).astype(np.int32)), *near]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "tok_id", "l", "w", "r"])
+
+    own = "".join(f"`{c}` {kinds[c]}, " for c in keep)
+    return sents.select(*keep, "words").mapInArrow(run, f"{own}tok_id int, l {kind}, w {kind}, r {kind}")
+
+
+def _joined_contexts(sents: DataFrame, vocab: DataFrame) -> DataFrame:
+    """As :func:`contexts`, for a vocabulary of any size."""
     keep = [c for c in sents.columns if c not in ("words", "n")]
     beside = lambda at, mark: F.coalesce(F.get("words", at), F.lit(mark))
     near = F.transform(
