@@ -108,6 +108,28 @@ def test_training_beats_the_majority_and_reloads(spark, sentences, tmp_path):
         tn.train_moves(rows, estimator="forest")
 
 
+def test_equal_states_are_added_up(sentences):
+    trees = random_trees(30)
+    sents = sentences(*trees, *trees, *trees).withColumn("fold", (F.col("sent_id") % 2).cast("int"))
+    rows = tn.training_rows(sents, keep=("fold",))
+    plain = rows.groupBy("fold", "move", F.array_sort("feature_ids").alias("ids")).agg(F.count(F.lit(1)).alias("c"))
+    want = {(r.fold, r.move, tuple(r.ids)): r.c for r in plain.collect()}
+    for stretch in (7, 1 << 21):
+        counts = tn.training_counts(sents, keep=("fold",), stretch=stretch)
+        got = {}
+        for r in counts.collect():
+            ids = tuple(int(i) for i, x in zip(r.features.indices, r.features.values) for _ in range(int(x)))
+            got[r.fold, r.move, ids] = got.get((r.fold, r.move, ids), 0) + r.copies
+        assert got == want
+    assert counts.count() < rows.count()
+    one, other = tn.train_moves(rows, max_iter=5), tn.train_moves(counts, max_iter=5)
+    assert tn.move_accuracy(rows, one).first() == pytest.approx(tn.move_accuracy(counts, one).first())
+    gap = one.stages[-1].coefficientMatrix.toArray() - other.stages[-1].coefficientMatrix.toArray()
+    assert abs(gap).max() < 0.02
+    with pytest.raises(ValueError):
+        tn.train_moves(counts, estimator="perceptron")
+
+
 def test_parsing_inside_the_row_equals_the_loop(sentences):
     sents = sentences(*random_trees(40)).select("sent_id", "n", "upos", "heads", "deprels")
     model = tn.train_moves(tn.training_rows(sents), max_iter=10)
