@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from arbolex.operators import beam as bm
 from arbolex.operators import candidates as ca
 from arbolex.operators import features as fe
 from arbolex.operators import gold
+from arbolex.operators import logistic as lo
 from arbolex.operators import scores as sc
 from arbolex.operators import training as tn
 from arbolex.sources import store as st
@@ -130,6 +132,29 @@ def test_equal_states_are_added_up(sentences):
         tn.train_moves(counts, estimator="perceptron")
 
 
+def test_the_fit_over_blocks_comes_where_spark_ml_does(sentences):
+    sents = sentences(*random_trees(60)).withColumn("fold", (F.col("sent_id") % 2).cast("int"))
+    rows, held = tn.training_rows(sents, keep=("fold",)), tn.training_blocks(sents, keep=("fold",), stretch=500)
+    mine, other = F.col("fold") == 0, F.col("fold") == 1
+    model = tn.train_moves(rows.where(mine), max_iter=60)
+    [want], got = tn.model_layers(model), lo.fit(held.where(mine), fe.feature_count(), tr.move_count(tr.DEFAULT_SYSTEM), 60)
+    # the bias of a move that never occurs has no bound, and scores may differ by a number that all moves share
+    seen = [r.move - 1 for r in rows.where(mine).select("move").distinct().collect()]
+    one, two = (np.asarray(w.weights)[:, seen] - np.asarray(w.weights)[:, seen].mean(1, keepdims=True) for w in (got, want))
+    assert np.corrcoef(one.ravel(), two.ravel())[0, 1] > 0.95
+    for part in (mine, other):
+        hits = {r.move: (r.c, r.ok) for r in lo.hits(held.where(part), got).collect()}
+        wanted = {r.move: (r.c, r.ok) for r in tn.move_hits(rows.where(part), model).collect()}
+        assert {m: c for m, (c, _) in hits.items()} == {m: c for m, (c, _) in wanted.items()}
+        assert abs(sum(ok for _, ok in hits.values()) - sum(ok for _, ok in wanted.values())) <= 0.03 * rows.where(part).count()
+
+
+def test_minimum_of_a_bowl():
+    pull, goal = np.array([1.0, 10.0, 100.0]), np.array([3.0, -2.0, 1.0])
+    found = lo.minimum(lambda x: ((pull * (x - goal) ** 2).sum(), 2 * pull * (x - goal)), np.zeros(3), 60, tol=0.0)
+    assert np.allclose(found, goal, atol=1e-4)
+
+
 def test_parsing_inside_the_row_equals_the_loop(sentences):
     sents = sentences(*random_trees(40)).select("sent_id", "n", "upos", "heads", "deprels")
     model = tn.train_moves(tn.training_rows(sents), max_iter=10)
