@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbolex.operators.batching import BATCH, SEED, slots
+from arbolex.operators.joins import if_small
 from arbolex.operators.numbering import number_rows
 from arbolex.operators.series import running_loss
 from arbolex.session import materialize
@@ -29,36 +32,74 @@ BATCH_ROW = "epoch_in bigint, file string, start bigint, nth bigint, line string
 CARRY_ROW = "series string, k0 bigint, avg0 double"
 
 
+def arrivals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``own``: the number, from 1, of a line among those of its stretch (``file, start``) and length in this task."""
+    seen: dict[tuple, int] = {}
+    for batch in batches:
+        length = batch.column("seq_len").to_numpy(zero_copy_only=False)
+        file, start = batch.column("file").dictionary_encode(), batch.column("start").to_numpy(zero_copy_only=False)
+        names, which = file.dictionary.to_pylist(), file.indices.to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(which, append=-1) | np.diff(start, append=-1)) + 1
+        own = np.empty(len(length), np.int64)
+        for first, last in zip([0, *cuts[:-1]], cuts, strict=True):
+            part = length[first:last]
+            order = np.argsort(part, kind="stable")
+            values, begins, counts = np.unique(part[order], return_index=True, return_counts=True)
+            place = (names[which[first]], int(start[first]))
+            before = np.array([seen.get((*place, int(v)), 0) for v in values], np.int64)
+            own[first + order] = np.arange(1, last - first + 1) + np.repeat(before - begins, counts)
+            seen.update(((*place, int(v)), int(x)) for v, x in zip(values, before + counts, strict=True))
+        yield batch.append_column("own", pa.array(own))
+
+
 def batch_writer(path: str, size: int = BATCH):
     """Length-bucket batching: full batches leave, the rest waits in the state table.
 
-    At most ``size - 1`` lines wait per length. Lines keep their order of arrival.
+    At most ``size - 1`` lines wait per length. Lines keep their order of arrival. No line is shuffled or sorted: a task
+    numbers the lines of its stretches of the files by length, and a small table, a row for each stretch and length, tells how
+    many come before.
     """
 
     def write(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         fresh = df.select(
-            F.lit(epoch).cast("bigint").alias("epoch_in"),
-            "file",
-            "start",
-            F.monotonically_increasing_id().alias("nth"),
-            "line",
-            "words",
-            (F.col("n") + 2).alias("seq_len"),
-        )
-        waiting = fresh
+            F.lit(epoch).cast("bigint").alias("epoch_in"), "file", "start", F.spark_partition_id().alias("task"), "line", "words",
+            (F.col("n") + 2).cast("int").alias("seq_len"),
+        )
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fresh.schema.fields)
+        rows = materialize(fresh.mapInArrow(arrivals, f"{kinds}, own bigint"), "arrived")
+        # the order of arrival inside a stretch and length
+        rows = rows.withColumn("nth", F.shiftleft(F.col("task").cast("bigint"), 33) + F.col("own"))
+        stretch = ["file", "start", "task", "seq_len"]
+        counts = rows.groupBy(*stretch).agg(F.count(F.lit(1)).alias("_rows"))
+        length = Window.partitionBy("seq_len")
+        before = F.coalesce(F.sum("_rows").over(length.orderBy("file", "start", "task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select(*stretch, before.alias("_before"), F.sum("_rows").over(length).alias("_fresh"))
+        numbered = None
         if epoch > 0:
-            waiting = spark.read.schema(BATCH_ROW).parquet(f"{path}/waiting/{epoch - 1}").unionByName(fresh)
-        rows = number_rows(
-            waiting, ["epoch_in", "file", "start", "nth"], by=["seq_len"], name="_rn", group_size="_size"
+            # fewer lines than a batch wait for each length, so the window is small
+            waiting = spark.read.schema(BATCH_ROW).parquet(f"{path}/waiting/{epoch - 1}")
+            waiting = waiting.withColumn("_rn", F.row_number().over(length.orderBy("epoch_in", "file", "start", "nth")).cast("bigint"))
+            held = waiting.groupBy("seq_len").agg(F.count(F.lit(1)).alias("_held"))
+            come = counts.groupBy("seq_len").agg(F.first("_fresh").alias("_fresh"))
+            numbered = waiting.join(held, "seq_len").join(come, "seq_len", "left").withColumn("_size", F.col("_held") + F.coalesce("_fresh", F.lit(0)))
+            counts = counts.join(held, "seq_len", "left")
+        else:
+            counts = counts.withColumn("_held", F.lit(0).cast("bigint"))
+        counts = if_small(materialize(counts.withColumn("_held", F.coalesce("_held", F.lit(0))), "stretches"))
+        placed = rows.join(counts, stretch).withColumns(
+            {"_rn": F.col("_held") + F.col("_before") + F.col("own"), "_size": F.col("_held") + F.col("_fresh")}
         )
-        rows = materialize(rows, "arrived")
+        columns = ["epoch_in", "file", "start", "nth", "line", "words", "seq_len", "_rn", "_size"]
+        placed = placed.select(*columns)
+        if numbered is not None:
+            placed = placed.unionByName(numbered.select(*columns))
         full = F.col("_rn") <= F.floor(F.col("_size") / size) * size
         number, slot = slots(F.col("_rn"), size)
-        rows.where(full).select(
+        placed.where(full).select(
             "seq_len", number.alias("batch_no"), slot.alias("slot"), "line", "words"
         ).write.mode("overwrite").parquet(f"{path}/batches/epoch={epoch}")
-        rows.where(~full).drop("_rn", "_size").write.mode("overwrite").parquet(f"{path}/waiting/{epoch}")
+        placed.where(~full).drop("_rn", "_size").write.mode("overwrite").parquet(f"{path}/waiting/{epoch}")
 
     return write
 

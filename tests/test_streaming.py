@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -181,3 +182,29 @@ def test_counts_are_merged_every_so_many_epochs(spark, tmp_path):
         assert {r.word: r.n for r in stx.word_count_table(stream, path, every=2).collect()} == want
     merged = sorted(p.name for p in (tmp_path / "counts" / "merged").iterdir())
     assert merged == ["1", "3"]
+
+
+def test_batches_are_cut_without_a_shuffle_of_lines(spark, tmp_path):
+    """Lines of one length from many stretches of files keep their order, and none crosses an exchange."""
+    lines = [f"{'w ' * (i % 3)}{i}" for i in range(400)]
+    folder, path = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for k in range(8):
+        arrive(folder, f"{k}.txt", lines[k * 50 : (k + 1) * 50])
+        os.utime(folder / f"{k}.txt", (1000 + k, 1000 + k))  # the order of files in a stream
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # a file has several stretches
+    names, small = [], ss.if_small
+    try:
+        ss.if_small = lambda df, *a: names.append(df.columns) or small(df, *a)
+        tokens = stx.stream_tokens(stx.stream_lines(spark, str(folder), 3))
+        rows = ss.stream_batches(tokens, path, 7).collect()
+    finally:
+        ss.if_small = small
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # what is joined to the lines is a table of stretches and lengths, in each of the three epochs
+    assert len(names) == 3 and all("line" not in columns and "words" not in columns for columns in names)
+    for length in (3, 4, 5):
+        want = [x for x in lines if len(x.split()) + 2 == length]
+        mine = sorted((r for r in rows if r.seq_len == length), key=lambda r: (r.epoch, r.batch_no, r.slot))
+        assert [r.line for r in mine] == want[: len(want) // 7 * 7]
+        assert all(r.words == r.line.split() for r in mine)
