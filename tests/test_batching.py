@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from arbolex.operators import batching as ba
@@ -104,3 +107,24 @@ def test_losses_follow_the_schedule(spark):
     scored = spark.createDataFrame([(r.sent_id, 2, -float(r.sent_id)) for r in batches.collect()], "sent_id long, n int, sum_logp double")
     for r in cm.batch_losses(batches, scored).collect():
         assert r["ord"] == order[r.seq_len, r.batch_no] and r.loss == (10 * r.seq_len + r.batch_no) / 2
+
+
+@pytest.mark.parametrize("limit", [0, 4, 7, 1000])
+def test_cold_words_come_back_to_their_places(spark, limit):
+    """Ids and words are the same however many of them are looked up in the row."""
+    rng = random.Random(5)
+    lines = [(i, " ".join(rng.choice(["the", "a", "b", "x" * 70, f"w{rng.randint(0, 9)}"]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    sents = vo.sentences(spark.createDataFrame(lines, "sent_id long, line string"))
+    counts = vo.word_counts(vo.tokens(sents).select("word"))
+    out_vocab, in_vocab = vo.top_vocab(counts, 3), vo.vocab_ids(vo.ranked_words(counts))
+    ids = [{r.word: r.id for r in v.collect()} for v in (out_vocab, in_vocab)]
+    encoded = en.encode_pairs(sents, out_vocab, in_vocab, limit)
+    decoded = {r.sent_id: r for r in en.decode_pairs(encoded, out_vocab, in_vocab, limit).collect()}
+    got = {r.sent_id: r for r in encoded.collect()}
+    split = {i: line.split() for i, line in lines if line.split()}
+    assert got.keys() == decoded.keys() == split.keys()
+    for i, words in split.items():
+        assert got[i].seq_len == len(words) + 2
+        for have, named, vocab in ((got[i].out_ids, decoded[i].out_words, ids[0]), (got[i].in_ids, decoded[i].in_words, ids[1])):
+            assert have == [1, *[vocab.get(w, 3) for w in words], 2]
+            assert named == ["<s>", *[w if w in vocab else "<unk>" for w in words], "</s>"]

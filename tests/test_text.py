@@ -121,3 +121,13 @@ def test_context_windows(spark):
     assert [(r.left_word, r.right_word, r.n_left, r.n_right, r.left_chars, r.right_chars) for r in row] == [
         ("<s>", "c", 0, 2, 0, 4), ("ab", "def", 1, 1, 2, 3), ("c", "</s>", 2, 0, 3, 0),
     ]
+
+
+def test_unique_words_give_the_same_vocabularies(spark):
+    long = "x" * 64
+    words = ["<s>", "a", "b", long, long + "y", long + "yz", long + "yzz", long + "q", "c"]
+    counts = spark.createDataFrame([(w, 3 + 7 * i % 5) for i, w in enumerate(words)], "word string, n long")
+    for size in (2, 5, 20):
+        assert sorted(vo.top_vocab(counts, size, unique=True).collect()) == sorted(vo.top_vocab(counts, size).collect())
+    ranked = vo.ranked_words(counts)
+    assert sorted(vo.vocab_ids(ranked, unique=True).collect()) == sorted(vo.vocab_ids(ranked).collect())
