@@ -191,11 +191,23 @@ def concat_char_batch(batches: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-def time_major(batches: DataFrame, column: str = "ids") -> DataFrame:
-    """Transpose: ``seq_len, batch_no, step, ids`` with one entry per slot of the batch."""
-    cells = batches.select("seq_len", "batch_no", "slot", F.posexplode(column).alias("step", "cell"))
-    return (
-        cells.groupBy("seq_len", "batch_no", "step")
-        .agg(in_order("cell", by="slot").alias("ids"))
-        .withColumn("step", F.col("step") + 1)
-    )
+def time_major(batches: DataFrame, *columns: str) -> DataFrame:
+    """Transpose: ``seq_len, batch_no, step`` and an array for each of the columns (one alone is named ``ids``).
+
+    An array has one entry per slot of the batch. The sequences of a batch meet as they are and are cut in the row.
+    """
+    columns = columns or ("ids",)
+    wide = batches.groupBy("seq_len", "batch_no").agg(F.sort_array(F.collect_list(F.struct("slot", *columns))).alias("rows"))
+    last = F.array_max(F.transform("rows", lambda r: F.size(r[columns[0]])))
+    names = columns if len(columns) > 1 else ("ids",)
+
+    def cells(column: str, step: Column) -> Column:
+        there = F.filter("rows", lambda r: F.size(r[column]) > step)
+        return F.transform(there, lambda r: F.get(r[column], step))
+
+    def at(step: Column) -> Column:
+        return F.struct(*[cells(c, step).alias(n) for c, n in zip(columns, names, strict=True)])
+
+    steps = F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), at))
+    cut = wide.select("seq_len", "batch_no", F.posexplode(steps).alias("at", "cells"))
+    return cut.select("seq_len", "batch_no", (F.col("at") + 1).alias("step"), *[f"cells.{n}" for n in names])

@@ -128,3 +128,15 @@ def test_cold_words_come_back_to_their_places(spark, limit):
         for have, named, vocab in ((got[i].out_ids, decoded[i].out_words, ids[0]), (got[i].in_ids, decoded[i].in_words, ids[1])):
             assert have == [1, *[vocab.get(w, 3) for w in words], 2]
             assert named == ["<s>", *[w if w in vocab else "<unk>" for w in words], "</s>"]
+
+
+def test_sequences_of_a_batch_meet_whole(spark):
+    """The transpose shuffles a row per sequence and not per cell, and gives each column."""
+    rows = [(4, b, s, [10 * s + i for i in range(4)], [100 * b + i for i in range(4)]) for b in range(3) for s in range(2)]
+    batches = spark.createDataFrame(rows, "seq_len int, batch_no long, slot int, a array<int>, b array<long>")
+    out = ba.time_major(batches, "a", "b")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # cells are made above the only aggregate
+    got = {(r.batch_no, r.step): (r.a, r.b) for r in out.collect()}
+    assert got == {(b, i + 1): ([i, 10 + i], [100 * b + i] * 2) for b in range(3) for i in range(4)}
+    assert ba.time_major(batches.limit(0), "a").count() == 0
