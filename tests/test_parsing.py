@@ -116,7 +116,7 @@ def test_equal_states_are_added_up(sentences):
     rows = tn.training_rows(sents, keep=("fold",))
     plain = rows.groupBy("fold", "move", F.array_sort("feature_ids").alias("ids")).agg(F.count(F.lit(1)).alias("c"))
     want = {(r.fold, r.move, tuple(r.ids)): r.c for r in plain.collect()}
-    for stretch in (7, 1 << 21):
+    for stretch in (7, 1 << 19):
         counts = tn.training_counts(sents, keep=("fold",), stretch=stretch)
         got = {}
         for r in counts.collect():
