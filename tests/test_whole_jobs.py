@@ -1,8 +1,13 @@
 """Registered queries over rows of their own: that they do the whole of what they name."""
 
+import numpy as np
 import pytest
 
+from arbolex.functions import transitions as tr
 from arbolex.operators import beam as bm
+from arbolex.operators import features as fe
+from arbolex.operators import logistic as lo
+from arbolex.operators import training as tn
 from arbolex.plans.queries import BEAM, QUERIES
 
 
@@ -33,3 +38,17 @@ def test_parse_corpus_searches_with_a_beam(spark, folder, monkeypatch):
         assert found == {r.sent_id: r.score for r in parse(sents, scores, beam=BEAM).collect()}
         better += sum(found[r.sent_id] > r.score + 1e-6 for r in parse(sents, scores, beam=1).collect())
     assert better > 0
+
+
+def test_a_fit_starts_from_the_counts(spark, sentences, monkeypatch):
+    """The gradient where no input has a weight is that of a look at all rows."""
+    rows = tn.training_blocks(sentences([2, 0, 2], [0, 1], [3, 3, 0, 3], [2, 0, 2, 3, 3])).cache()
+    looks, added = [], lo._added
+    monkeypatch.setattr(lo, "_added", lambda *given: looks.append(1) or added(*given))
+    starts, minimum = [], lo.minimum
+    monkeypatch.setattr(lo, "minimum", lambda look, at, *given: starts.append((look(at), look(at + 1e-12))) or minimum(look, at, *given))
+    lo.fit(rows, fe.feature_count(), tr.move_count(tr.DEFAULT_SYSTEM), 0)
+    (value, slope), (near, near_slope) = starts[0]
+    assert len(looks) == 2  # the counts, and the start a little further on
+    assert value == pytest.approx(near, rel=1e-5)
+    assert np.abs(slope - near_slope).max() < 1e-5
