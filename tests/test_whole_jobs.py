@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from arbolex.functions import transitions as tr
+from arbolex.operators import batching as ba
 from arbolex.operators import beam as bm
 from arbolex.operators import features as fe
 from arbolex.operators import logistic as lo
@@ -52,3 +53,20 @@ def test_a_fit_starts_from_the_counts(spark, sentences, monkeypatch):
     assert len(looks) == 2  # the counts, and the start a little further on
     assert value == pytest.approx(near, rel=1e-5)
     assert np.abs(slope - near_slope).max() < 1e-5
+
+
+@pytest.mark.parametrize("limit", [0, 5, 6, 1000])
+def test_words_of_a_step_are_the_same_however_many_are_spelled_in_place(spark, limit):
+    seq = lambda *ids: [(0, i) for i in ids]
+    batches = spark.createDataFrame(
+        [(5, 0, 1, seq(1, 8, 7, 5, 2)), (5, 0, 0, seq(1, 5, 6, 9, 2)), (3, 3, 0, seq(1, 9, 2)), (3, 4, 0, seq(1, 6, 2))],
+        "seq_len int, batch_no long, slot int, seq array<struct<out_id:int,in_id:long>>",
+    )
+    # 9 is not spelled and left out
+    spelled = spark.createDataFrame([(1, [9]), (2, [9, 9]), (5, [4]), (6, [5, 6, 7]), (7, [1, 8]), (8, [])], "id long, char_ids array<int>")
+    steps = ba.step_words(batches, spelled.repartition(3), limit)
+    assert dict(steps.dtypes) == {"seq_len": "int", "batch_no": "bigint", "step": "int", "words": "array<array<int>>"}
+    assert {(r.seq_len, r.batch_no, r.step): r.words for r in steps.collect()} == {
+        (5, 0, 1): [[9], [9]], (5, 0, 2): [[4], []], (5, 0, 3): [[5, 6, 7], [1, 8]], (5, 0, 4): [[4]], (5, 0, 5): [[9, 9], [9, 9]],
+        (3, 3, 1): [[9]], (3, 3, 3): [[9, 9]], (3, 4, 1): [[9]], (3, 4, 2): [[5, 6, 7]], (3, 4, 3): [[9, 9]],
+    }
